@@ -113,7 +113,7 @@ def enrichment(scored: DataFrame, occurrences: int) -> DataFrame:
     ranked = ranked.withColumn("__adjusted", F.col("log10_p") + F.log10(F.col("__tests") / F.col("__rank")))
     following = record.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     log_q = F.least(F.lit(0.0), F.min("__adjusted").over(following))
-    out = ranked.withColumn("__log_q", log_q).withColumn("q", F.pow(F.lit(10.0), F.col("__log_q"))).withColumn("score", F.round(-F.col("__log_q"), 6) + 0.0)
+    out = ranked.withColumn("__log_q", log_q).withColumn("q", F.pow(F.lit(10.0), F.col("__log_q"))).withColumn("score", F.abs("__log_q"))
     return out.drop("__rank", "__tests", "__adjusted", "__log_q")
 
 

@@ -87,7 +87,7 @@ def p5_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, scored, _ = _scored(spark, sf_dir)
     occurrences = counts.agg(F.sum("tf")).first()[0] or 0
     out = enrichment(scored, occurrences)
-    return out.select(F.col("id").cast("int").alias("doc_idx"), "term", "tf", "df", "cf", "log10_p", "q", "score")
+    return out.select(F.col("id").cast("int").alias("doc_idx"), "term", "tf", "df", "cf", F.round("log10_p", 5).alias("log10_p"), F.round("q", 5).alias("q"), F.round("score", 5).alias("score"))
 
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
