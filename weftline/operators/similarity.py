@@ -16,43 +16,54 @@ def normalised(weighted: DataFrame) -> DataFrame:
     return positive.select("idx", "term", "df", (F.col("w") / norm).alias("u"))
 
 
-def _leading(units: DataFrame, cut_off: float) -> DataFrame:
-    """The terms of each document without which the rest, the most frequent ones, has a norm below the cut.
+#: Documents meet on the terms that leave a rest of at most this share of the cut.
+REST = 0.5
 
-    By Cauchy and Schwarz two documents of at least this similarity share a leading term:
-    the rarest term they share is leading in both, else all shared terms lay in a rest.
-    """
+
+def _leading(units: DataFrame, cut_off: float) -> DataFrame:
+    """Adds ``rest`` to the rarest terms of each document, without which the norm of the others, ``rest``,
+    is at most a share of the cut."""
     rarest_first = Window.partitionBy("idx").orderBy("df", "term")
-    rest = F.sum(F.col("u") * F.col("u")).over(rarest_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return units.withColumn("rest", rest).filter(F.col("rest") > cut_off * cut_off * (1 - 1e-9)).drop("rest")
+    after = F.sum(F.col("u") * F.col("u")).over(rarest_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    own = F.col("u") * F.col("u")
+    limit = (REST * cut_off) ** 2
+    lead = units.withColumn("after", after).filter(F.col("after") > limit).withColumn("others", F.greatest(F.col("after") - own, F.lit(0.0)))
+    return lead.withColumn("rest", F.sqrt(F.min("others").over(Window.partitionBy("idx")))).select("idx", "term", "u", "rest")
 
 
 def similar_pairs(weighted: DataFrame, cut_off: float = 0.5, both_directions: bool = False) -> DataFrame:
     """``(i, j, sim)`` of all pairs with a cosine above ``cut_off``, ``i < j`` unless both directions are asked for.
 
-    Exact for any positive cut: documents meet on their leading terms only, which leaves the
-    frequent terms out of the join; pairs that met are then scored on whole vectors.
+    Exact for any positive cut. Documents meet on their rarest terms only, which leaves the frequent
+    terms out of the join. All documents order terms alike, so what two of them share beyond the
+    terms that lead in both adds at most the larger of their rests (Cauchy and Schwarz): only pairs
+    whose sum over shared leading terms comes that near to the cut are scored on whole vectors.
     """
     if cut_off <= 0:
         raise ValueError("the cut must be positive; without shared terms the similarity is 0")
     units = cut(normalised(weighted))
-    lead = _leading(units, cut_off).select("idx", "term")
-    met = lead.withColumnRenamed("idx", "i").join(lead.withColumnRenamed("idx", "j"), "term").filter("i < j").select("i", "j").distinct()
-    vectors = units.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("v"))
-    vectors = cut(vectors)
-    left = vectors.select(F.col("idx").alias("i"), F.map_entries("v").alias("a"))
-    right = vectors.select(F.col("idx").alias("j"), F.col("v").alias("b"))
-    dot = F.aggregate("a", F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0)))
-    scored = met.join(left, "i").join(right, "j").select("i", "j", dot.alias("sim")).filter(F.col("sim") > cut_off)
+    lead = cut(_leading(units, cut_off))
+    left = lead.select("term", F.col("idx").alias("i"), F.col("u").alias("ui"), F.col("rest").alias("ri"))
+    right = lead.select("term", F.col("idx").alias("j"), F.col("u").alias("uj"), F.col("rest").alias("rj"))
+    met = left.join(right, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("ui") * F.col("uj")).alias("some"), F.max(F.greatest("ri", "rj")).alias("rest"))
+    near = met.filter(F.col("some") + F.col("rest") > cut_off * (1 - 1e-9)).select("i", "j")
+    vectors = cut(units.groupBy("idx").agg(F.collect_list(F.struct("term", "u")).alias("v")))
+    left = vectors.select(F.col("idx").alias("i"), F.col("v").alias("a"))
+    right = vectors.select(F.col("idx").alias("j"), F.map_from_entries("v").alias("b"))
+    dot = F.aggregate("a", F.lit(0.0), lambda acc, e: acc + e["u"] * F.coalesce(F.try_element_at("b", e["term"]), F.lit(0.0)))
+    scored = near.join(left, "i").join(right, "j").select("i", "j", dot.alias("sim")).filter(F.col("sim") > cut_off)
     if both_directions:
         scored = scored.unionByName(scored.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
     return scored
 
 
 def probe_similarities(units: DataFrame, probes: DataFrame) -> DataFrame:
-    """``(q, c, sim)`` for each probe ``q`` (a column ``idx``) and every document that shares a term with it."""
-    asked = units.join(probes.select("idx").distinct(), "idx", "left_semi").select(F.col("idx").alias("q"), "term", F.col("u").alias("uq"))
-    met = asked.join(units.select(F.col("idx").alias("c"), "term", F.col("u").alias("uc")), "term")
+    """``(q, c, sim)`` for each probe ``q`` (a column ``idx``) and every document that shares a term with it.
+
+    Terms are joined by a 64-bit hash, so that no text is shuffled or compared per pair."""
+    keyed = units.select("idx", F.xxhash64("term").alias("t"), "u")
+    asked = keyed.join(probes.select("idx").distinct(), "idx", "left_semi").select(F.col("idx").alias("q"), "t", F.col("u").alias("uq"))
+    met = asked.join(keyed.select(F.col("idx").alias("c"), "t", F.col("u").alias("uc")), "t")
     return met.groupBy("q", "c").agg(F.sum(F.col("uq") * F.col("uc")).alias("sim"))
 
 
