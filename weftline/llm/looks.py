@@ -192,11 +192,26 @@ def unify(texts: pa.Array, looks: bool = True) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), n, [valid, pa.py_buffer(new), pa.py_buffer(out)])
 
 
+#: Bytes of text that are expanded at once; a single longer text is one piece.
+PIECE = 1 << 20
+
+
+def unify_in_pieces(texts: pa.Array, looks: bool = True) -> pa.Array:
+    """``unify`` over slices of bounded size, so that the arrays of a batch of long texts stay small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    pieces, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        pieces.append(unify(texts.slice(at, to - at), looks))
+        at = to
+    return pa.concat_arrays(pieces) if pieces else pa.array([], pa.large_string())
+
+
 @lru_cache(maxsize=1)
 def _unify_column():
     @F.arrow_udf("string")
     def common_form(texts: pa.Array) -> pa.Array:
-        return unify(texts).cast(pa.string())
+        return unify_in_pieces(texts).cast(pa.string())
 
     return common_form
 
