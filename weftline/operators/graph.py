@@ -11,7 +11,7 @@ from weftline.session import cut
 def resolve_calls(classes: DataFrame, methods: DataFrame, calls: DataFrame, variables: DataFrame, imports: DataFrame) -> DataFrame:
     """``(src, dst)``: the call graph of fully qualified names, one row per resolved call.
 
-    Inputs: classes (unit, class_id, name, long_name), methods (class_id, method_id, name), calls
+    Inputs: classes (unit, class_id, name, long_name), methods (class_id, method_id, method_no, name), calls
     (method_id, call_no, called), variables (class_id, method_id or null, variable, type), imports
     (class_id, import_no, import). A call is resolved by the first that holds: recursion, the class's
     constructor, another method of the class, an import that ends with the class of the
@@ -27,7 +27,7 @@ def resolve_calls(classes: DataFrame, methods: DataFrame, calls: DataFrame, vari
     dst = lambda owner, name: F.concat(owner, F.lit("."), name).alias("dst")
     own = base.filter(bare(F.col("method")) == F.col("called")).select(*call, F.lit(1).alias("way"), F.lit(0).cast("long").alias("no"), dst(F.col("long_name"), F.col("method")))
     constructor = base.filter("cls = called").select(*call, F.lit(2).alias("way"), F.lit(0).cast("long").alias("no"), dst(F.col("long_name"), F.col("cls")))
-    others = methods.select("class_id", F.col("method_id").cast("long").alias("no"), F.col("name").alias("other"), bare(F.col("name")).alias("called"))
+    others = methods.select("class_id", F.col("method_no").cast("long").alias("no"), F.col("name").alias("other"), bare(F.col("name")).alias("called"))
     sibling = base.join(others, ["class_id", "called"]).select(*call, F.lit(3).alias("way"), "no", dst(F.col("long_name"), F.col("other")))
     in_method = variables.filter("method_id IS NOT NULL").groupBy("method_id", F.col("variable").alias("object")).agg(F.max("type").alias("t1"))
     in_class = variables.filter("method_id IS NULL").groupBy("class_id", F.col("variable").alias("object")).agg(F.max("type").alias("t2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import DIGITS, records_above, sparse_vectors
 from weftline.operators.positions import grouped_positions
 from weftline.session import cut
 
@@ -38,39 +39,44 @@ def duplicate_ranks(records: DataFrame, similarities: DataFrame, known: DataFram
     scored = similarities.filter("sim > 0").join(ids.select(F.col("idx").alias("c"), F.col("id").alias("c_id")), "c")
     scored = cut(scored.join(asked, "q").filter("c_id != q_id").select("q", "c", "c_id", "sim", "duplicate_id"))
     hits = _first_entries(scored.filter("c_id = duplicate_id"))
-    places = _places(scored, hits)
-    return _with_missed(records, asked, places, hits, scored)
-
-
-def _first_entries(of_duplicate: DataFrame) -> DataFrame:
-    """``(q, s, d)``: the first entry of the duplicate id, by similarity and corpus order."""
-    entry = F.max(F.struct("sim", (-F.col("c")).alias("place")))
-    return of_duplicate.groupBy("q").agg(entry.alias("e")).select("q", F.col("e.sim").alias("s"), (-F.col("e.place")).alias("d"))
-
-
-def _places(scored: DataFrame, hits: DataFrame) -> DataFrame:
     above = F.count_if((F.col("sim") > F.col("s")) | ((F.col("sim") == F.col("s")) & (F.col("c") < F.col("d"))))
-    return scored.join(hits, "q").groupBy("q").agg((above + 1).alias("rank"), F.first("s").alias("sim"))
-
-
-def _with_missed(records: DataFrame, asked: DataFrame, places: DataFrame, hits: DataFrame, scored: DataFrame) -> DataFrame:
-    """Adds the duplicates of similarity 0: they come after all records with some, in corpus order.
-    ``scored`` has all positive similarities of their queries."""
-    ids = records.select("idx", "id")
+    places = scored.join(hits, "q").groupBy("q").agg((above + 1).alias("rank"), F.first("s").alias("sim"))
+    # Duplicates of similarity 0 come after all records with some, in corpus order.
     missed = asked.join(hits, "q", "left_anti").join(first_of_id(records).select(F.col("id").alias("duplicate_id"), F.col("idx").alias("d")), "duplicate_id")
     some = scored.join(missed.select("q", "d"), "q").groupBy("q").agg(F.count(F.lit(1)).alias("some"), F.count_if(F.col("c") < F.col("d")).alias("some_before"))
-    earlier = _records_before(records)
+    numbered = grouped_positions(records.select("idx").withColumn("all", F.lit(0)), ["all"], [F.col("idx")])
+    earlier = numbered.select(F.col("idx").alias("d"), (F.col("position") - 1).alias("before"))
     same_before = missed.join(ids.select(F.col("id").alias("q_id"), F.col("idx").alias("o")), "q_id").groupBy("q").agg(F.count_if(F.col("o") < F.col("d")).alias("same_before"))
-    zero = missed.join(earlier.select(F.col("idx").alias("d"), "before"), "d").join(some, "q", "left").join(same_before, "q", "left")
+    zero = missed.join(earlier, "d").join(some, "q", "left").join(same_before, "q", "left")
     place = F.coalesce("some", F.lit(0)) + F.col("before") - F.coalesce("some_before", F.lit(0)) - F.coalesce("same_before", F.lit(0)) + 1
     both = places.unionByName(zero.select("q", place.alias("rank"), F.lit(0.0).alias("sim")))
     return asked.join(both, "q").select(F.col("q").alias("idx"), F.col("q_id").alias("id"), "duplicate_id", "rank", "sim")
 
 
-def _records_before(records: DataFrame) -> DataFrame:
-    """``(idx, before)``: how many records come earlier in the corpus."""
-    numbered = grouped_positions(records.select("idx").withColumn("all", F.lit(0)), ["all"], [F.col("idx")])
-    return numbered.select("idx", (F.col("position") - 1).alias("before"))
+def duplicate_ranks_of_vectors(records: DataFrame, units: DataFrame, known: DataFrame) -> DataFrame:
+    """The same result as ``duplicate_ranks`` from normalised vectors (idx, term, u), in blocks.
+
+    The duplicates' own similarities come from a small join; then each query only counts the records
+    above its duplicate, block against tile, without any table of similarities.
+    """
+    asked = cut(known.select(F.col("idx").alias("q"), F.col("id").alias("q_id"), "duplicate_id"))
+    own = asked.select("q", "duplicate_id").join(records.select(F.col("id").alias("duplicate_id"), F.col("idx").alias("c")), "duplicate_id").select("q", "c")
+    left, right = units.select(F.col("idx").alias("q"), "term", F.col("u").alias("a")), units.select(F.col("idx").alias("c"), "term", F.col("u").alias("b"))
+    sims = own.join(left, "q").join(right, ["c", "term"]).groupBy("q", "c").agg(F.round(F.sum(F.col("a") * F.col("b")), DIGITS).alias("sim"))
+    scored = own.join(sims, ["q", "c"], "left").select("q", "c", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    hits = _first_entries(scored)
+    documents = cut(records.select("idx", F.xxhash64("id").alias("key")).join(sparse_vectors(units), "idx", "left"))
+    queries = cut(hits.select(F.col("q").alias("idx"), "s", "d").join(documents, "idx"))
+    above = records_above(documents, queries).join(hits.withColumnRenamed("q", "idx"), "idx")
+    out = above.join(asked.withColumnRenamed("q", "idx"), "idx")
+    kind = records.schema["idx"].dataType
+    return out.select(F.col("idx").cast(kind).alias("idx"), F.col("q_id").alias("id"), "duplicate_id", (F.col("above") + 1).alias("rank"), F.col("s").alias("sim"))
+
+
+def _first_entries(of_duplicate: DataFrame) -> DataFrame:
+    """``(q, s, d)``: the first entry of the duplicate id, by similarity and corpus order."""
+    entry = F.max(F.struct("sim", (-F.col("c")).alias("place")))
+    return of_duplicate.groupBy("q").agg(entry.alias("e")).select("q", F.col("e.sim").alias("s"), (-F.col("e.place")).alias("d"))
 
 
 def hit_rates(ranks: DataFrame) -> DataFrame:

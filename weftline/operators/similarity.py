@@ -43,9 +43,10 @@ def similar_pairs(weighted: DataFrame, cut_off: float = 0.5, both_directions: bo
         raise ValueError("the cut must be positive; without shared terms the similarity is 0")
     units = cut(normalised(weighted))
     lead = cut(_leading(units, cut_off))
-    left = lead.select("term", F.col("idx").alias("i"), F.col("u").alias("ui"), F.col("rest").alias("ri"))
-    right = lead.select("term", F.col("idx").alias("j"), F.col("u").alias("uj"), F.col("rest").alias("rj"))
-    met = left.join(right, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("ui") * F.col("uj")).alias("some"), F.max(F.greatest("ri", "rj")).alias("rest"))
+    lead = lead.withColumn("t", F.xxhash64("term"))  # equal hashes of unequal terms only add to the sum, which is a bound
+    left = lead.select("t", F.col("idx").alias("i"), F.col("u").alias("ui"), F.col("rest").alias("ri"))
+    right = lead.select("t", F.col("idx").alias("j"), F.col("u").alias("uj"), F.col("rest").alias("rj"))
+    met = left.join(right, "t").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("ui") * F.col("uj")).alias("some"), F.max(F.greatest("ri", "rj")).alias("rest"))
     near = met.filter(F.col("some") + F.col("rest") > cut_off * (1 - 1e-9)).select("i", "j")
     vectors = cut(units.groupBy("idx").agg(F.collect_list(F.struct("term", "u")).alias("v")))
     left = vectors.select(F.col("idx").alias("i"), F.col("v").alias("a"))

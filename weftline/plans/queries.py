@@ -294,10 +294,8 @@ def b1_pair_rows(spark, sf_dir):
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    known = cut(ranking.known_duplicates(r))
     units = cut(similarity.normalised(_weights(spark, sf_dir)))
-    sims = similarity.probe_similarities(units, known).withColumn("sim", F.round("sim", 9))
-    return ranking.duplicate_ranks(r, sims, known)
+    return ranking.duplicate_ranks_of_vectors(r, units, ranking.known_duplicates(r))
 
 
 @query

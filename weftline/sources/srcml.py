@@ -77,7 +77,7 @@ class _Reader(xml.sax.ContentHandler):
                 self._fact("import", None, i, imported)
         elif parent in ("function", "constructor") and self.methods and self.methods[-1]["name"] is None:
             self.methods[-1]["name"] = name
-            self._fact("method", self.methods[-1]["id"], 0, name)
+            self._fact("method", self.methods[-1]["id"], self.counter, name)
         elif parent == "type":
             self.pending["type"] = name.split("<")[0].split("[")[0]
         elif parent == "decl" and self.classes and "type" in self.pending:
@@ -121,7 +121,7 @@ def tables(facts: DataFrame) -> dict[str, DataFrame]:
     of = lambda kind: facts.filter(F.col("kind") == kind)
     return {
         "classes": of("class").select("class_id", "name", F.col("value").alias("long_name")),
-        "methods": of("method").select("class_id", "method_id", "name").withColumn("method_id", F.col("method_id")),
+        "methods": of("method").select("class_id", "method_id", F.col("no").alias("method_no"), "name"),
         "calls": of("call").select("method_id", F.col("no").alias("call_no"), F.col("name").alias("called")),
         "variables": of("variable").select("class_id", "method_id", F.col("name").alias("variable"), F.col("value").alias("type")),
         "imports": of("import").select("class_id", F.col("no").alias("import_no"), F.col("name").alias("import")),

@@ -73,19 +73,20 @@ def read_tracker(spark: SparkSession, path: str, kind: int | str) -> DataFrame:
 
 
 def read_relational(spark: SparkSession, path: str, row_tag: str) -> dict[str, DataFrame]:
-    """Tables inferred from nesting: the rows under their tag with an ordinal ``<tag>_Id``, and a table for
-    each repeated child with its parent's ordinal ``<tag>_Id_0`` and its own ``pos``."""
+    """Tables inferred from nesting: the rows under their tag with an ordinal ``<tag>_Id_0``, and a table for
+    each repeated child with its parent's ordinal under the same name and its own ``pos``."""
     rows = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").load(path)
-    rows = _numbered(rows).withColumnRenamed("idx", f"{row_tag}_Id")
+    key = f"{row_tag}_Id_0"
+    rows = _numbered(rows).withColumnRenamed("idx", key)
     tables, flat = {}, []
     for field in rows.schema.fields:
         kind = field.dataType.typeName()
         if kind == "array":
-            child = rows.select(F.col(f"{row_tag}_Id").alias(f"{row_tag}_Id_0"), F.posexplode(field.name).alias("pos", "value"))
+            child = rows.select(key, F.posexplode(field.name).alias("pos", "value"))
             nested = child.schema["value"].dataType.typeName() == "struct"
-            tables[field.name] = child.select(f"{row_tag}_Id_0", "pos", "value.*") if nested else child
+            tables[field.name] = child.select(key, "pos", "value.*") if nested else child
         elif kind == "struct":
-            tables[field.name] = rows.filter(F.col(field.name).isNotNull()).select(F.col(f"{row_tag}_Id").alias(f"{row_tag}_Id_0"), F.lit(0).alias("pos"), f"{field.name}.*")
+            tables[field.name] = rows.filter(F.col(field.name).isNotNull()).select(key, F.lit(0).alias("pos"), f"{field.name}.*")
         else:
             flat.append(field.name)
     return {row_tag: rows.select(*flat), **tables}
