@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import LsaConfig, TextConfig
 from weftline.operators import dense, lda, lsa, ranking, similarity, tfidf, tvd
+from weftline.plans.pipeline import Workflow, batch, duplicate_workflow
 
 DOCS = [(0, "apple banana banana"), (1, "apple cherry"), (2, "banana cherry cherry date")]
 MU, MU_DO = TextConfig(single_terms=True), TextConfig(single_terms=True, single_document_terms=True)
@@ -188,3 +189,20 @@ def test_dense_cosine_and_neighbours(spark):
         sims = unit @ unit[q]
         sims[q] = -9
         assert [got[q, k] for k in (1, 2, 3)] == np.argsort(-sims)[:3].tolist()
+
+
+def test_workflow(spark):
+    rows = [(i, str(i), f"{t} report", f"{t} is broken in the {w}", [t], None if i % 2 else str(i + 1)) for i, (t, w) in enumerate([("menu", "editor"), ("menu", "view"), ("cache", "server"), ("cache", "client"), ("font", "label"), ("font", "title")])]
+    records = spark.createDataFrame(rows, "idx long, id string, title string, description string, comments array<string>, duplicate_id string")
+    flow = duplicate_workflow(records, TextConfig(lower=True, stemming=True), LsaConfig(k=3))
+    assert tuple(flow.get("rates").first()) == (3, 1.0, 1.0) == tuple(flow.get("lsa_rates").first())
+    assert {r["rank"] for r in flow.get("ranks").collect()} == {1} == {r["rank"] for r in flow.get("lsa_ranks").collect()}
+    assert flow.get("weights") is flow.get("weights") and flow.get("pairs").count() >= 3
+    flow.register("rates", lambda ranks: ranks.count())
+    assert flow.get("rates") == 3
+    with pytest.raises(KeyError):
+        flow.get("nothing")
+    with pytest.raises(ValueError):
+        Workflow().register("a", lambda b: b).register("b", lambda a: a).get("a")
+    runs = batch(records, [TextConfig(lower=True), TextConfig(all_comments=True, double_title=True)])
+    assert [r.suffix for r in runs.collect()] == ["_LO", "_AC_DW"]

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import ALL_SIX, LsaConfig, TextConfig
 from weftline.functions import text as T
-from weftline.functions.stem import porter
+from weftline.functions.stem import porter, porter2
 
 
 def one(spark, value, column):
@@ -82,6 +82,13 @@ def test_stems():
     assert {w: porter(w) for w in expected} == expected
 
 
+def test_english_stems(spark):
+    expected = {"consistently": "consist", "consolations": "consol", "conspiracy": "conspiraci", "knackeries": "knackeri", "knightly": "knight", "generous": "generous", "hoped": "hope", "dying": "die", "by": "by", "say": "say", "exceeded": "exceed", "agreed": "agre", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "dog's": "dog", "rational": "ration", "controlled": "control"}
+    assert {w: porter2(w) for w in expected} == expected
+    words = F.array(*[F.lit(w) for w in expected])
+    assert spark.range(1).select(T.stem_all(words, porter2)).first()[0] == list(expected.values())
+
+
 def test_ngrams_and_dice(spark):
     df = spark.createDataFrame([("abcd", "")], "a string, b string")
     grams = df.select(T.character_ngrams(F.col("a"), 3), T.character_ngrams(F.col("b"), 3)).first()

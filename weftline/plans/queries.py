@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import LsaConfig, TextConfig
 from weftline.functions import text as T
+from weftline.functions.stem import porter2
 from weftline.operators import dense, graph, lda, lsa, ranking, reports, similarity, summaries, tfidf, tvd
 from weftline.operators.badrows import bad_lines, classify
 from weftline.operators.conversation import message_features
@@ -183,6 +184,14 @@ def d19_ascii_words(spark, sf_dir):
     return w.select("doc_id", F.size("w").alias("n_words"), F.size(kept).alias("n_kept"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
+@query
+def d21_english_stems(spark, sf_dir):
+    """Words of the ASCII tokeniser by their English stems: how many words, and how many different ones."""
+    words = load(spark, sf_dir, "documents").select(F.explode(T.ascii_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    stems = words.select("n", T.stem_all(F.array("word"), porter2)[0].alias("stem"))
+    return stems.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
+
+
 @query
 def d22_dictionary(spark, sf_dir):
     words = records(spark, sf_dir).select(F.explode(T.words(F.col("description"))).alias("word"))
