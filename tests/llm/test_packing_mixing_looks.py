@@ -119,6 +119,13 @@ def test_what_looks_the_same():
     assert form("") == "" and form("​") == "" and len(form("é" * 300_000)) == 300_000 and form("a" + "́" * 5000)
 
 
+def test_words_keep_their_alphabet():
+    assert form("Пaнeль") == "Панель" == form("Панель") and form("нe") == "не"
+    assert form("отчёт") == "отчёт" == form("oтчëт")
+    assert form("сору") == "copy" and form("cop\u0443 жук") == "copy жук" and form("жdк") == "жdк"
+    assert form("λόγος") == "λόγος" == form("λ\u00f3γος")
+
+
 def test_same_look_pairs(spark):
     rows = [(1, "abc"), (2, "аbс"), (3, "abc"), (4, "ab​c"), (5, None), (6, ""), (7, " "), (8, " "), (9, "other"), (10, "​")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, look string")

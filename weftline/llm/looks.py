@@ -35,6 +35,10 @@ SEEN = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD,
 #: Compatibility forms that are drawn as their parts are. Circled, raised, lowered, squared and
 #: font variants look different and stay.
 SAME_SHAPE = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Blocks of the alphabets; a word with letters that only one of them has is written in it.
+LATIN_BLOCKS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0xAA, 0x250), range(0x1E00, 0x1F00))
+OWN_SCRIPT = {"Cyrillic": (range(0x400, 0x530), range(0x1C80, 0x1C90), range(0xA640, 0xA6A0)), "Greek": (range(0x370, 0x400), range(0x1F00, 0x2000))}
+BASIC = {"Cyrillic": range(0x400, 0x460), "Greek": range(0x386, 0x3CF)}
 LIMIT = 0xE0200
 _TAIL = 0x110000
 
@@ -42,7 +46,9 @@ _TAIL = 0x110000
 @dataclass(frozen=True)
 class Tables:
     """``start``/``size``: a code point's replacement in ``flat`` (size -1: itself). ``ccc``: combining
-    class. ``pairs``/``joined``: composable pairs as one number each, sorted, and their result."""
+    class. ``pairs``/``joined``: composable pairs as one number each, sorted, and their result.
+    ``letter``: 1 for letters and marks, 2 for Latin letters, 3 and up for letters that only one of the
+    other alphabets has. ``back``: for each of these alphabets its letter for a Latin one, or 0."""
 
     start: np.ndarray
     size: np.ndarray
@@ -50,6 +56,8 @@ class Tables:
     ccc: np.ndarray
     pairs: np.ndarray
     joined: np.ndarray
+    letter: np.ndarray
+    back: list[np.ndarray]
 
 
 @lru_cache(maxsize=2)
@@ -92,11 +100,24 @@ def tables(looks: bool = True) -> Tables:
         if canonical != ch and unicodedata.normalize("NFC", canonical) == ch:
             split = [ord(x) for x in unicodedata.normalize("NFC", canonical[:-1])] + [ord(canonical[-1])]
             if len(split) == 2:
-                split[0] = alike.get(split[0], split[0])
                 # Of several letters with one look the first, the Latin one, gives the joined form.
-                pairs.setdefault(split[0] * _TAIL + split[1], cp)
+                pairs.setdefault(alike.get(split[0], split[0]) * _TAIL + split[1], cp)
+                pairs[split[0] * _TAIL + split[1]] = cp
     keys = np.array(sorted(pairs), np.int64)
-    return Tables(start, size, np.array(flat, np.int32), ccc, keys, np.array([pairs[k] for k in keys.tolist()], np.int32))
+    letter = np.zeros(LIMIT, np.uint8)
+    letter[[cp for cp in [*range(0x41, 0x3000), *range(0xA640, 0xAC00)] if unicodedata.category(chr(cp))[0] in "LM"]] = 1
+    for block in LATIN_BLOCKS:
+        letter[block.start : block.stop] *= 2
+    back = []
+    for n, (script, blocks) in enumerate(OWN_SCRIPT.items() if looks else (), 3):
+        for block in blocks:
+            letter[[cp for cp in block if letter[cp] and cp not in alike and not unicodedata.combining(chr(cp))]] = n
+        theirs = np.zeros(LIMIT, np.int32)
+        for a, b in zip(*LOOK_ALIKES[script]):
+            if ord(a) in BASIC[script]:
+                theirs[ord(b)] = theirs[ord(b)] or ord(a)
+        back.append(theirs)
+    return Tables(start, size, np.array(flat, np.int32), ccc, keys, np.array([pairs[k] for k in keys.tolist()], np.int32), letter, back)
 
 
 def _joined(t: Tables, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,6 +147,23 @@ def _classes(t: Tables, cp: np.ndarray) -> np.ndarray:
     return np.where(cp < LIMIT, t.ccc[np.minimum(cp, LIMIT - 1)], 0)
 
 
+def _own_script(t: Tables, cp: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words with letters that only one other alphabet has are written in it throughout, if it has all
+    their letters; so a Russian word stays Russian, whichever of its letters were Latin. This
+    depends on the unified word alone: words that look the same still come out the same."""
+    kind = np.where(cp < LIMIT, t.letter[np.minimum(cp, LIMIT - 1)], 0)
+    if not (kind > 2).any():
+        return cp
+    word = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | ((kind[1:] > 0) != (kind[:-1] > 0))])) - 1
+    has = lambda x: np.bincount(word[x], minlength=word[-1] + 1) > 0
+    inside = np.minimum(cp, LIMIT - 1)
+    for n, back in enumerate(t.back, 3):
+        theirs = back[inside]
+        turns = has(kind == n) & ~has((kind > 2) & (kind != n)) & ~has((kind == 2) & (theirs == 0))
+        cp = np.where(turns[word] & (kind == 2), theirs, cp)
+    return cp
+
+
 def _compose(t: Tables, cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Canonical order of marks, then composition, row by row."""
     ccc = _classes(t, cp)
@@ -183,7 +221,10 @@ def unify(texts: pa.Array, looks: bool = True) -> pa.Array:
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int32)
     begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     row = np.repeat(np.arange(n), np.diff(begins[ends]))
-    cp, row = _compose(t, *_expand(t, cp, row))
+    cp, row = _expand(t, cp, row)
+    if looks and len(cp):
+        cp = _own_script(t, cp, row)
+    cp, row = _compose(t, cp, row)
     out = cp.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
     sizes = np.bincount(row, weights=width, minlength=n).astype(np.int64)
