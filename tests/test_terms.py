@@ -155,6 +155,18 @@ def test_topics(spark):
     assert lda.matched_topics([(0, 1), (0, 1), (1, 1), (1, 0)]) == ({0: 1, 1: 0}, 3)
 
 
+def test_topics_of_a_drawn_corpus(spark):
+    theta, phi, tf = lda.synthetic_corpus(spark, 40, 12, 3)
+    assert tf.groupBy("idx").agg(F.sum("tf").alias("n")).filter("n = 50").count() == 40
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(12)], "term string, term_idx int")
+    named = tf.join(vocab, "term_idx").select("idx", "term", "tf")
+    rows = lda.features(named, vocab, 12).cache()
+    for k, model in lda.sweep(rows, (2, 3), iterations=5, optimizer="em"):
+        assert all(len(r.theta) == k and abs(sum(r.theta) - 1) < 1e-9 for r in lda.topic_shares(model, rows).collect())
+    unseen = lda.topic_shares(lda.fit(rows.filter("idx < 30"), 3, iterations=5), rows.filter("idx >= 30"))
+    assert unseen.count() == 10 and theta.shape == (40, 3) and phi.shape == (3, 12)
+
+
 def test_title_against_description(spark):
     full = [(0, "a b c d"), (1, "a b e"), (2, "c d f"), (3, "e f g")]
     short = [(0, "a b"), (1, "a e"), (2, "c"), (3, "g")]

@@ -70,13 +70,23 @@ def _p2() -> str:
           CASE WHEN delim = ',' THEN regexp_matches(delim || raw_text, {parts[',']}) ELSE regexp_matches(delim || raw_text, {parts[';']}) END AS quoted,
           CASE WHEN delim = ',' THEN {fields[',']} ELSE {fields[';']} END AS raw_f FROM raw_records),
         v AS (SELECT *, list_transform(raw_f, lambda x: CASE WHEN trim(x, E' \t\r') LIKE '"%' THEN replace(trim(x, E' \t\r')[2:-2], '""', '"') ELSE trim(x, E' \t\r') END) AS f FROM s)
-        SELECT raw_id, reason FROM (SELECT raw_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> (CASE kind WHEN 'duplicates' THEN 4 ELSE 5 END) THEN 'columns'
+        , r AS (SELECT raw_id, kind, f, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> (CASE kind WHEN 'duplicates' THEN 4 ELSE 5 END) THEN 'columns'
           WHEN kind = 'duplicates' AND NOT ({digits(1)} AND {digits(2)} AND (f[3] = '' OR {whole(3, 1)}) AND {num(4)}) THEN 'value'
-          WHEN kind = 'lsa_m2' AND NOT ({whole(1, 0)} AND {digits(2)} AND {whole(3, 0)} AND {digits(4)} AND {num(5)}) THEN 'value' END AS reason FROM v)
-        WHERE reason IS NOT NULL"""
+          WHEN kind = 'lsa_m2' AND NOT ({whole(1, 0)} AND {digits(2)} AND {whole(3, 0)} AND {digits(4)} AND {num(5)}) THEN 'value' END AS reason FROM v)"""
 
 
-SQL["p2_found"] = _p2()
+SQL["p2_found"] = _p2() + " SELECT raw_id, reason FROM r WHERE reason IS NOT NULL"
+
+
+def _loaded() -> str:
+    number = lambda i: f"CAST(replace(nullif(f[{i}], ''), ',', '.') AS DOUBLE)"
+    whole = lambda i: f"CAST(nullif(f[{i}], '') AS DOUBLE)"
+    fields = [("duplicates", "feature_id", "f[1]"), ("duplicates", "dup_id", "f[2]"), ("duplicates", "rank", whole(3)), ("duplicates", "sim", number(4))]
+    fields += [("lsa_m2", "title_i", whole(1)), ("lsa_m2", "id_i", "f[2]"), ("lsa_m2", "doc_j", whole(3)), ("lsa_m2", "id_j", "f[4]"), ("lsa_m2", "cosine_similarity", number(5))]
+    return ", ".join(f"CASE WHEN kind = '{k}' THEN {e} END AS {k}_{n}" for k, n, e in fields)
+
+
+SQL["p2_loaded"] = _p2() + f" SELECT raw_id, kind, {_loaded()} FROM r WHERE reason IS NULL"
 SQL["a5_comment_rows"] = "SELECT doc_idx, CAST(i - 1 AS INTEGER) AS pos, CAST(length(long_desc[i].thetext) AS INTEGER) AS n_chars FROM features, range(1, len(long_desc) + 1) r(i)"
 SQL["a6_census"] = "SELECT corpus, tracker, count(*) AS n_records, count(*) FILTER (WHERE resolution = 'DUPLICATE') AS n_duplicates FROM features GROUP BY corpus, tracker"
 _DOUBLE = f"coalesce(short_desc, '') || chr(10) || ' ' || coalesce(short_desc, '') || chr(10) || ' ' || {BODY} || {COMMENTS}"

@@ -16,6 +16,7 @@ from weftline.functions.stem import porter2
 from weftline.operators import dense, graph, lda, lsa, ranking, reports, similarity, summaries, tfidf, tvd
 from weftline.operators.badrows import bad_lines, classify
 from weftline.operators.conversation import message_features
+from weftline.plans.pipeline import duplicate_workflow
 from weftline.session import cut, load
 from weftline.sinks import writers
 from weftline.sources.xml import not_invalid
@@ -70,12 +71,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_lines(load(spark, sf_dir, "raw_records")).select("raw_id", "reason")
 
 
+def _without_int(column: Column, field: str) -> Column:
+    return column.cast("double") if field in ("rank", "title_i", "doc_j") else column
+
+
 @query
 def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid lines of both kinds, typed."""
+    """The valid lines of both kinds, typed; whole numbers as doubles, since each line has one kind's fields only."""
     good = classify(load(spark, sf_dir, "raw_records")).filter("reason IS NULL")
     fields = [("duplicates", n) for n in ("feature_id", "dup_id", "rank", "sim")] + [("lsa_m2", n) for n in ("title_i", "id_i", "doc_j", "id_j", "cosine_similarity")]
-    return good.select("raw_id", "kind", *[F.col(f"record.{k}.{f}").alias(f"{k}_{f}") for k, f in fields])
+    return good.select("raw_id", "kind", *[_without_int(F.col(f"record.{k}.{f}"), f).alias(f"{k}_{f}") for k, f in fields])
 
 
 # Sources, projections and filters.
@@ -472,6 +477,24 @@ def h5_lsa_pairs(spark, sf_dir):
     return lsa.pair_cosines(result.documents, pairs).filter("sim > 0.5")
 
 
+@query
+def h11_lsa_ranks(spark, sf_dir):
+    """Known duplicates ranked in the reduced space."""
+    config = TextConfig(lower=True, single_terms=True, single_document_terms=True)
+    flow = duplicate_workflow(records(spark, sf_dir), config, LsaConfig(k=40))
+    return flow.get("lsa_ranks")
+
+
+@query
+def h12_similar_terms(spark, sf_dir):
+    """Cosines, in the reduced space, of terms that follow each other in the vocabulary."""
+    config = TextConfig(lower=True, single_terms=True, single_document_terms=True)
+    flow = duplicate_workflow(records(spark, sf_dir), config, LsaConfig(k=20))
+    v = flow.get("vocabulary").select("term", "term_idx")
+    pairs = v.select(F.col("term").alias("i"), (F.col("term_idx") + 1).alias("n")).join(v.select(F.col("term").alias("j"), F.col("term_idx").alias("n")), "n").select("i", "j")
+    return lsa.pair_cosines(flow.get("lsa_model").terms, pairs, key="term")
+
+
 @query
 def h15_topics(spark, sf_dir):
     """Topic distributions of all records."""
