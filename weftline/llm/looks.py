@@ -238,7 +238,21 @@ PIECE = 1 << 20
 
 
 def unify_in_pieces(texts: pa.Array, looks: bool = True) -> pa.Array:
-    """``unify`` over slices of bounded size, so that the arrays of a batch of long texts stay small."""
+    """``unify`` over slices of bounded size, so that the arrays of a batch of long texts stay small.
+
+    Texts of ASCII only are in the common form already: only the others are taken apart."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    rows = np.unique(np.searchsorted(offsets - offsets[0], np.flatnonzero(data > 0x7F), side="right") - 1)
+    if not len(rows):
+        return texts
+    source = np.arange(len(texts))
+    source[rows] = len(texts) + np.arange(len(rows))
+    return pa.concat_arrays([texts, _pieces(texts.take(pa.array(rows)), looks)]).take(pa.array(source))
+
+
+def _pieces(texts: pa.Array, looks: bool) -> pa.Array:
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     pieces, at = [], 0
     while at < len(texts):
