@@ -503,4 +503,4 @@ def h15_topics(spark, sf_dir):
     vocab = cut(tfidf.vocabulary(tokenised, config))
     size = vocab.agg(F.max("term_idx")).first()[0]
     rows = cut(lda.features(tfidf.term_frequencies(tokenised), vocab, (size or 0) + 1))
-    return lda.topic_shares(lda.fit(rows, 20, iterations=10), rows)
+    return lda.fitted_shares(rows, 20, iterations=10)
