@@ -92,11 +92,11 @@ def p5_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(with_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
-    out = None
+    out = spark.createDataFrame([], "pack_name string, bin_id long, doc_id long, piece long, offset long, length long")
     # One row per kind of pack: a handful.
     for name, capacity in load(spark, sf_dir, "pack_capacities").orderBy("capacity_tokens", "pack_name").collect():
         packs = pack(docs, "doc_id", "n_tokens", capacity).select(F.lit(name).alias("pack_name"), "bin_id", F.col("id").alias("doc_id"), "piece", "offset", "length")
-        out = packs if out is None else out.unionByName(packs)
+        out = out.unionByName(packs)
     return out
 
 
