@@ -218,3 +218,26 @@ def test_workflow(spark):
         Workflow().register("a", lambda b: b).register("b", lambda a: a).get("a")
     runs = batch(records, [TextConfig(lower=True), TextConfig(all_comments=True, double_title=True)])
     assert [r.suffix for r in runs.collect()] == ["_LO", "_AC_DW"]
+
+
+def test_reduced_pairs_against_brute_force(spark, duck, monkeypatch):
+    from tests_data import DATA
+    from weftline.operators import blocks
+    from weftline.plans import queries
+
+    monkeypatch.setattr(blocks, "DENSE_TILE", 16)  # several tiles
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(70, 3))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, [0.0] * 3)], "idx int, coords array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    expected = {(i, j): (unit @ unit.T)[i, j] for i in range(70) for j in range(i + 1, 70) if (unit @ unit.T)[i, j] > 0.5}
+    found = blocks.pairs_above(rows, 0.5)
+    got = {(r.i, r.j): r.sim for r in found.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - s) < 1e-9 for k, s in expected.items()) and found.schema["i"].dataType.simpleString() == "int"
+    assert blocks.pairs_above(rows.limit(0), 0.5).count() == 0
+    kept = {}
+    monkeypatch.setattr(queries.lsa, "lsa", lambda *a, _f=lsa.lsa: kept.setdefault("model", _f(*a)))
+    pairs = {(r.i, r.j) for r in queries.h5_lsa_pairs(spark, str(DATA)).collect()}
+    docs = {r.idx: np.array(r.coords) for r in kept["model"].documents.collect()}
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert pairs == {(i, j) for i in docs for j in docs if i < j and docs[i].any() and docs[j].any() and cos(docs[i], docs[j]) > 0.5}

@@ -15,6 +15,7 @@ from weftline.functions import text as T
 from weftline.functions.stem import porter2
 from weftline.operators import dense, graph, lda, lsa, ranking, reports, similarity, summaries, tfidf, tvd
 from weftline.operators.badrows import bad_lines, classify
+from weftline.operators.blocks import pairs_above
 from weftline.operators.conversation import message_features
 from weftline.plans.pipeline import duplicate_workflow
 from weftline.session import cut, load
@@ -466,15 +467,13 @@ def i4_wording(spark, sf_dir):
 # Models: no SQL equivalent; checked by properties in the tests.
 @query
 def h5_lsa_pairs(spark, sf_dir):
-    """Pairs that are similar in the reduced space, among the pairs of the similar-pair file."""
+    """All pairs of records that are similar in the reduced space."""
     config = TextConfig(lower=True, single_terms=True, single_document_terms=True)
     tokenised = cut(tfidf.tokenise(records(spark, sf_dir), config))
     vocab = cut(tfidf.vocabulary(tokenised, config))
     weighted = tfidf.weights(cut(tfidf.term_frequencies(tokenised)), records(spark, sf_dir).count(), config)
     result = lsa.lsa(weighted, vocab, LsaConfig(k=40))
-    asked = load(spark, sf_dir, "lsa_m2_lo_sy_dw_sm_sc_ac").select(F.col("title_i").alias("i"), F.col("doc_j").alias("j")).filter("i >= 0 AND j >= 0 AND i != j")
-    pairs = asked.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    return lsa.pair_cosines(result.documents, pairs).filter("sim > 0.5")
+    return pairs_above(result.documents, 0.5)
 
 
 @query
