@@ -241,3 +241,21 @@ def test_reduced_pairs_against_brute_force(spark, duck, monkeypatch):
     docs = {r.idx: np.array(r.coords) for r in kept["model"].documents.collect()}
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert pairs == {(i, j) for i in docs for j in docs if i < j and docs[i].any() and docs[j].any() and cos(docs[i], docs[j]) > 0.5}
+
+
+def test_topics_are_fitted_to_all_records(spark, duck, monkeypatch):
+    from tests_data import DATA
+    from weftline.plans import queries
+
+    kept = {}
+    real = lda.fit
+
+    def fit(rows, *args, **options):
+        kept["rows"], kept["model"] = rows, real(rows, *args, **options)
+        return kept["model"]
+
+    monkeypatch.setattr(lda, "fit", fit)
+    assert queries.h15_topics(spark, str(DATA)).count() == kept["rows"].count()
+    counts = sum(r.features.toArray() for r in kept["rows"].collect())
+    assert np.allclose(kept["model"].topicsMatrix().toArray().sum(axis=1), counts)  # every word of every record is evidence
+    assert lda.mini_batches(10_000) == 500 and lda.mini_batches(0) == 5

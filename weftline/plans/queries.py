@@ -496,10 +496,10 @@ def h12_similar_terms(spark, sf_dir):
 
 @query
 def h15_topics(spark, sf_dir):
-    """Topic distributions of all records."""
+    """Topic distributions of all records, by a model that reads all of them in each of its iterations."""
     config = TextConfig(lower=True, single_terms=True, single_document_terms=True)
     tokenised = cut(tfidf.tokenise(records(spark, sf_dir), config))
     vocab = cut(tfidf.vocabulary(tokenised, config))
     size = vocab.agg(F.max("term_idx")).first()[0]
     rows = cut(lda.features(tfidf.term_frequencies(tokenised), vocab, (size or 0) + 1))
-    return lda.fitted_shares(rows, 20, iterations=10)
+    return lda.fitted_shares(rows, 20, iterations=10, optimizer="em")
