@@ -259,3 +259,21 @@ def test_topics_are_fitted_to_all_records(spark, duck, monkeypatch):
     counts = sum(r.features.toArray() for r in kept["rows"].collect())
     assert np.allclose(kept["model"].topicsMatrix().toArray().sum(axis=1), counts)  # every word of every record is evidence
     assert lda.mini_batches(10_000) == 500 and lda.mini_batches(0) == 5
+
+
+def test_ratio_rule_keeps_all_values_that_meet_it(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(rng.choice([f"t{n}" for n in range(30)], 9))) for i in range(20)]
+    vocab = tfidf.vocabulary(tfidf.tokenise(spark.createDataFrame(docs, "idx long, doc string")))
+    w = tfidf.weights(tf_of(spark, docs), len(docs)).cache()
+    matrix = np.zeros((20, vocab.count()))
+    place = {r.term: r.term_idx for r in vocab.collect()}
+    for r in w.collect():
+        matrix[r.idx, place[r.term]] = r.w
+    s = np.linalg.svd(matrix, compute_uv=False)
+    monkeypatch.setattr(lsa, "WIDE", 3)
+    for config, n in ((LsaConfig(ratio=0.4, largest=2), int((s / s[0] >= 0.4).sum())), (LsaConfig(largest=2), int((s / s[0] >= 0.04).sum())), (LsaConfig(k=-1, largest=2), 20)):
+        result = lsa.lsa(w, vocab, config)
+        assert n > 2 and np.allclose(result.values, s[:n])
+        coords = np.array([r.coords for r in result.documents.orderBy("idx").collect()])
+        assert np.allclose(np.linalg.norm(coords, axis=0), s[:n])

@@ -59,7 +59,8 @@ class LsaConfig:
     """How many singular values stay: a ratio to the largest one, or a number.
 
     ``k`` empty or 0 keeps values of at least ``ratio`` times the largest; ``k`` >= 1 keeps k, or k + 1
-    with ``one_more`` (the counting of the published runs).
+    with ``one_more`` (the counting of the published runs). A negative ``k`` keeps all. ``largest`` is how many values are
+    computed first where their number isn't known beforehand; it bounds nothing.
     """
 
     k: int | str | None = None
@@ -78,9 +79,14 @@ class LsaConfig:
         return sum(1 for v in values if v / values[0] >= self.ratio)
 
     def asked(self) -> int:
-        """How many values to compute."""
+        """How many values to compute, or to begin with."""
         k = int(self.k or 0)
         return k + 1 if k >= 1 else self.largest
 
+    def enough(self, values: Sequence[float]) -> bool:
+        """Whether no value beyond ``values`` can be one to keep."""
+        k = int(self.k or 0)
+        return k >= 1 or (k == 0 and len(values) > 0 and values[-1] / values[0] < self.ratio)
+
 
 TRACKERS = {"Bugzilla": 0, "Tigris": 1}

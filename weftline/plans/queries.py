@@ -476,6 +476,13 @@ def h5_lsa_pairs(spark, sf_dir):
     return pairs_above(result.documents, 0.5)
 
 
+@query
+def h8_ratio_ranks(spark, sf_dir):
+    """Known duplicates ranked in the space of all singular values of at least 0.04 of the largest, the published setting."""
+    config = TextConfig(lower=True, single_terms=True, single_document_terms=True)
+    return duplicate_workflow(records(spark, sf_dir), config).get("lsa_ranks")
+
+
 @query
 def h11_lsa_ranks(spark, sf_dir):
     """Known duplicates ranked in the reduced space."""
