@@ -277,3 +277,20 @@ def test_ratio_rule_keeps_all_values_that_meet_it(spark, monkeypatch):
         assert n > 2 and np.allclose(result.values, s[:n])
         coords = np.array([r.coords for r in result.documents.orderBy("idx").collect()])
         assert np.allclose(np.linalg.norm(coords, axis=0), s[:n])
+
+
+def test_whole_table_of_titles_against_descriptions(spark, duck, monkeypatch):
+    from tests_data import DATA
+    from weftline.operators import blocks
+    from weftline.plans import queries
+
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "TILE", 32)
+    r = queries.records(spark, str(DATA)).select("idx").cache()
+    full, short = queries._tf(spark, str(DATA), TextConfig(lower=True, all_comments=True)), queries._tf(spark, str(DATA))
+    expected = {(x.q, x.c): x.sim for x in tvd.title_description_similarities(full, short, r.count(), r).filter("q < c").collect()}
+    rows = queries.b3_title_description_pairs(spark, str(DATA)).collect()
+    got = {(x.i, x.j): x.sim for x in rows}
+    n = r.count()
+    assert len(rows) == len(got) == n * (n - 1) // 2
+    assert all(abs(s - expected.get(k, 0.0)) < 1e-9 for k, s in got.items()) and set(expected) <= set(got)

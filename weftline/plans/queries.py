@@ -342,6 +342,15 @@ def h3_title_description(spark, sf_dir):
     return ranks.select("idx", "id", "duplicate_id", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query
+def b3_title_description_pairs(spark, sf_dir):
+    """The whole cross-reference table: every record, with title and description only, against all later records."""
+    full = cut(_tf(spark, sf_dir, TextConfig(lower=True, all_comments=True)))
+    short = cut(_tf(spark, sf_dir, PLAIN))
+    r = cut(records(spark, sf_dir).select("idx"))
+    return tvd.title_description_pairs(full, short, r.count(), r)
+
+
 def _two_ids(spark, sf_dir):
     first = records(spark, sf_dir).agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
     return first["a"], first["b"]
