@@ -105,3 +105,23 @@ def test_positions_across_partitions(spark):
             expected += [(g or "", v, p) for p, v in enumerate(own, 1) if limit is None or p <= limit]
         assert got == sorted(expected)
     assert grouped_positions(df.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_settled_pagerank_is_the_fixed_point(spark, duck):
+    from conftest import DATA
+    from weftline.plans import queries
+
+    got = {r.vertex: r["rank"] for r in queries.QUERIES["h23_pagerank_settled"](spark, str(DATA)).collect()}
+    edges = {(r.src, r.dst) for r in queries.links(spark, str(DATA)).collect()}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    ranks = {v: 1 / len(got) for v in got}
+    for _ in range(300):
+        loose = sum(x for v, x in ranks.items() if v not in out) / len(ranks)
+        new = {v: 0.15 / len(ranks) + 0.85 * loose for v in ranks}
+        for a, targets in out.items():
+            for b in targets:
+                new[b] += 0.85 * ranks[a] / len(targets)
+        ranks = new
+    assert got and all(abs(got[v] - x) < 1e-8 for v, x in ranks.items())
