@@ -17,9 +17,10 @@ SAMPLE = (
     "links struct<link array<struct<linkType string, linkedID string, linkComment string>>>, "
     "comments struct<comments array<struct<cID string, cReporter string, cCreated string, cText string>>, comment array<struct<cID string, cReporter string, cCreated string, cText string>>>"
 )
+# Each child is read as an array, so that a repeated one is noticed.
 METHODS = (
-    "id int, name string, class string, returntype string, called struct<id array<int>>, calls struct<id array<int>>, use struct<type string, example string>, "
-    "pagerank double, swum struct<object string, verb string>"
+    "id array<int>, name array<string>, class array<string>, returntype array<string>, called array<struct<id array<int>>>, calls array<struct<id array<int>>>, "
+    "use array<struct<type array<string>, example array<string>>>, pagerank array<double>, swum array<struct<object array<string>, verb array<string>>>"
 )
 
 
@@ -97,10 +98,29 @@ def children(table: DataFrame, parent_column: str, parent: int) -> DataFrame:
     return table.filter(F.col(parent_column) == parent)
 
 
+def _only(children: Column, name: str, required: bool = True) -> Column:
+    """The single child of an element: a repeated one is an error, and so is a missing one that is required."""
+    n = F.greatest(F.size(children), F.lit(0))
+    fault = F.raise_error(F.concat(F.lit(f"a method has not one {name} but "), n.cast("string")))
+    one = F.try_element_at(children, F.lit(1))
+    return F.when((n == 1) if required else (n <= 1), one).otherwise(fault)
+
+
 def read_methods(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Method facts and the averages row of a method list; a record that doesn't fit fails the read."""
+    """Method facts and the averages row of a method list; a record that doesn't fit fails the read.
+
+    Every method has one id, name, class and return type, and at most one each of called, calls, use, swum and pagerank;
+    a use has one type and example, a swum one verb and object. Values must be of their types.
+    """
     rows = read_rows(spark, path, "method", METHODS, mode="FAILFAST")
-    methods = rows.select("id", "name", "class", "returntype", F.col("called.id").alias("called"), F.col("calls.id").alias("calls"), "pagerank", F.col("swum.verb").alias("verb"), F.col("swum.object").alias("object"), F.col("use.type").alias("use_type"), F.col("use.example").alias("example"))
+    whole = rows.select(
+        *[_only(F.col(c), c).alias(c) for c in ("id", "name", "class", "returntype")], *[_only(F.col(c), c, required=False).alias(c) for c in ("called", "calls", "use", "pagerank", "swum")]
+    )
+    part = lambda parent, name: F.when(F.col(parent).isNotNull(), _only(F.col(parent)[name], f"{parent}.{name}"))
+    methods = whole.select(
+        "id", "name", "class", "returntype", F.col("called.id").alias("called"), F.col("calls.id").alias("calls"), "pagerank",
+        part("swum", "verb").alias("verb"), part("swum", "object").alias("object"), part("use", "type").alias("use_type"), part("use", "example").alias("example"),
+    )
     averages = read_rows(spark, path, "averages", "called double, calls double, pagerank double", mode="FAILFAST")
     return methods, averages
 
