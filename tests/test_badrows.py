@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators.badrows import bad_lines, classify, valid_lines
+from weftline.operators import badrows
+from weftline.operators.badrows import bad_lines, classify, read_permissively, valid_lines
 
 D, L = "duplicates", "lsa_m2"
 CASES = [
@@ -15,6 +16,8 @@ CASES = [
     (D, ",", '"a""b",2,3,0.5', "value"), (D, ",", '" 1",2,3,0.5', "value"), (D, ",", "1,2,3,1e999", "value"), (D, ",", "1,2,99999999999999999999999,0.5", "value"),
     ("other", ",", "1,2,3,4", "kind"), (None, ",", "1", "kind"), (D, "|", "1|2|3|4", "delimiter"), (D, None, "1,2,3,4", "delimiter"),
     (D, ",", "x" * 300_000, "columns"), (D, ",", "," * 100_000, "columns"), (D, ",", '"' * 100_001, "quoting"), (D, ",", "1,2,3," + "9" * 50_000, "value"),
+    (D, ",", "1,2,3,-0", None), (D, ",", "1,2,3,-0.25", None), (D, ",", "1,2,3,1e-1", None),
+    (L, ",", "-0,2,3,4,0.5", "value"), (D, ",", "1,2,-1,0.5", "value"), (D, ",", "1,2,-0,0.5", "value"), (D, ",", "1,2,3,0.5d", "value"), (D, ",", "1,2,3,0x1p-1", "value"), (D, ",", "1,2,3,--1", "value"), (D, ",", "1 1,2,3,0.5", "value"), (D, ",", "1,2,3,-1.5", "value"),
 ]
 SCHEMA = "raw_id long, kind string, delim string, raw_text string, reason string, record int, expected string"
 
@@ -33,6 +36,24 @@ def test_reasons(spark):
         assert (r.record[D] is None and r.record[L] is None) == (r.reason is not None)
 
 
+def test_the_reader_feeds_the_second_step(spark, monkeypatch):
+    """Bad counts and casts are found by the reader, and the second step sees what it retained and nothing else."""
+    read = {r.raw_id: r for r in read_permissively(table(spark)).collect()}
+    for i, (kind, delim, text, expected) in enumerate(CASES):
+        if expected in ("kind", "delimiter") or text is None:
+            assert read[i]["__retained"] is None
+        elif expected == "columns" and '"' not in text and text and text.count(delim) < badrows.MOST_FIELDS:
+            assert read[i][f"__{kind}"]["corrupt"] == text == read[i]["__retained"]
+    for text in ("x2147483648", "1,2,2147483648,0.5", "1,2,3,1e", "1 1,2,x,0.5"):
+        assert next(r for r in read_permissively(table(spark).limit(1).withColumn("raw_text", F.lit(text))).collect())[f"__{D}"]["corrupt"] == text
+    retained = {i for i, r in read.items() if r["__retained"] is not None}
+    assert {i for i, c in enumerate(CASES) if c[3] in ("quoting", "columns") and c[2] is not None} <= retained and len(retained) < len(CASES)
+    seen = badrows._split
+    monkeypatch.setattr(badrows, "_split", lambda text, delim: seen(F.when(text.isNotNull(), F.lit("1,2")), delim))
+    reasons = {r.raw_id: r.reason for r in classify(table(spark)).collect()}
+    assert all(reasons[i] == "columns" for i in retained if CASES[i][1] == ",")
+
+
 def test_bad_and_valid_together_are_all(spark):
     t = table(spark)
     assert bad_lines(t).count() + valid_lines(t, D).count() + valid_lines(t, L).count() == len(CASES)

@@ -1,10 +1,12 @@
 """Separating delimited lines that cannot be read from those that can.
 
-``classify`` reads every line permissively with an explicit schema, which keeps the raw text
-of the lines the reader gives up on. Lines without quotes whose fields all cast are done
-there. All others are reclassified against the written grammar: quoting first, then the
-number of fields, then their values. Everything is a column expression, so the operator is
-one narrow stage without a shuffle and without Python.
+First step: every line of a known kind and delimiter is read permissively under the typed schema of its
+kind, with a column that retains the raw text of a corrupt line. What the reader takes
+is checked for its bounds. Second step: the retained texts of the others are reclassified against the
+written grammar: quoting first, then the number of fields, then casts. The reader is more lenient than that grammar
+in a few ways (quotes anywhere, signs before whole numbers, ``5.``, ``0.5d``, other alphabets' digits), so texts with
+any of these are retained as well. Everything is a column expression: one narrow stage
+without a shuffle and without Python.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ BLANKS = " \t\r"
 MAX_INT = "2147483647"
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _TYPES = {"id": "string", "ordinal": "int", "rank": "int", "number": "double"}
+#: The reader fails on lines of more fields than it has room for; these are retained without it.
+MOST_FIELDS = 512
+#: What the reader takes and the grammar may not: anything but digits, blanks, delimiters, points and minus signs, a point
+#: without a digit on each side, and a negative zero, which as a whole number is no longer negative.
+LENIENT = r"[^0-9 \t,;.\-]|\.(?![0-9])|(?<![0-9])\.|-0"
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,38 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def read_permissively(lines: DataFrame, names: Line = Line()) -> DataFrame:
+    """Adds a typed struct ``__<kind>`` for each kind (null where the line is not of that kind), with
+    ``corrupt``, the raw text of a line that the reader gave up on; its fields as ``__<kind>__<field>``; and ``__retained``, the texts left to
+    the second step: those the reader retained, and those it reads more leniently than the grammar. Lines
+    of unknown kind or delimiter, and null texts, have nulls in all of them.
+    """
+    text, kind, delim = F.col(names.text), F.col(names.kind), F.col(names.delimiter)
+    reads, corrupt, taken = [], F.lit(None).cast("string"), F.lit(False)
+    for name, parts in KINDS.items():
+        schema = ", ".join(f"{f} {_TYPES[t]}" for f, t in parts) + ", corrupt string"
+        read = F.lit(None).cast(f"struct<{', '.join(f'{f}:{_TYPES[t]}' for f, t in parts)}, corrupt:string>")
+        for d in DELIMITERS:
+            options = {
+                "sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "ignoreLeadingWhiteSpace": "true",
+                "ignoreTrailingWhiteSpace": "true", "maxColumns": str(MOST_FIELDS),
+            }
+            fits = F.length(text) - F.length(F.translate(text, d, "")) < MOST_FIELDS
+            read = F.when((kind == name) & (delim == d) & fits, F.from_csv(text, F.lit(schema), options)).otherwise(read)
+        reads.append(read.alias(f"__{name}"))
+    staged = lines.select("*", F.inline(F.array(F.struct(*reads))))
+    for name in KINDS:
+        read = F.col(f"__{name}")
+        corrupt = F.coalesce(corrupt, read["corrupt"])
+        taken = taken | (read.isNotNull() & read["corrupt"].isNull())
+    known = F.coalesce(kind.isin(*KINDS) & delim.isin(*DELIMITERS), F.lit(False)) & text.isNotNull()
+    lenient = (text == "") | text.rlike(LENIENT)
+    retained = F.when(known & ~(taken & ~lenient), F.coalesce(corrupt, text))
+    # As columns of their own: one computed value each, whatever reads them later.
+    flat = F.struct(*[F.col(f"__{name}")[f].alias(f"__{name}__{f}") for name, parts in KINDS.items() for f, _ in parts], retained.alias("__retained"))
+    return staged.select("*", F.inline(F.array(flat)))
+
+
 def classify(lines: DataFrame, names: Line = Line()) -> DataFrame:
     """Adds ``reason`` (null for a valid line), ``corrupt_text`` and ``record`` to every line.
 
@@ -89,30 +128,30 @@ def classify(lines: DataFrame, names: Line = Line()) -> DataFrame:
     replaced).
     """
     text, kind, delim = F.col(names.text), F.col(names.kind), F.col(names.delimiter)
-    known = F.coalesce(kind.isin(*KINDS) & delim.isin(*DELIMITERS), F.lit(False)) & text.isNotNull()
-    staged = lines.drop("reason", "corrupt_text", "record")
-    staged = _computed_once(staged, "__reads", F.struct(known.alias("known"), *_reads(text, kind, delim)))
-    known, cells = F.col("__reads")["known"], _cells(F.col("__reads"))
-    staged = _computed_once(staged, "__cells", F.when(known, cells))
-    staged = _computed_once(staged, "__split", F.when(known & F.col("__cells").isNull(), _split(text, delim)))
-    staged = _computed_once(staged, "__fields", F.coalesce("__cells", _contents(F.col("__split"))))
+    staged = read_permissively(lines.drop("reason", "corrupt_text", "record"), names)
+    retained = F.col("__retained")
+    staged = _computed_once(staged, "__split", _split(retained, delim))
+    staged = _computed_once(staged, "__fields", _contents(F.col("__split")))
     fields = F.col("__fields")
-    width, holds, records = F.lit(None).cast("int"), F.lit(None).cast("boolean"), []
+    width, bounded, holds, records = F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), []
     for name, parts in KINDS.items():
+        read = {f: F.col(f"__{name}__{f}") for f, _ in parts}
         width = F.when(kind == name, len(parts)).otherwise(width)
+        bounded = F.when(kind == name, _all([_in_bounds(read[f], t) for f, t in parts])).otherwise(bounded)
         holds = F.when(kind == name, _all([_holds(F.get(fields, F.lit(i)), t) for i, (_, t) in enumerate(parts)])).otherwise(holds)
-        typed = F.struct(*[_typed(F.get(fields, F.lit(i)), t).alias(f) for i, (f, t) in enumerate(parts)])
+        typed = F.struct(*[F.when(retained.isNull(), read[f]).otherwise(_typed(F.get(fields, F.lit(i)), t)).alias(f) for i, (f, t) in enumerate(parts)])
         records.append(F.when(F.col("reason").isNull() & (kind == name), typed).alias(name))
     reason = (
         F.when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "kind")
         .when(~F.coalesce(delim.isin(*DELIMITERS), F.lit(False)), "delimiter")
         .when(text.isNull(), "columns")
+        .when(retained.isNull(), F.when(~bounded, "value"))
         .when(fields.isNull(), "quoting")
         .when(F.size(fields) != width, "columns")
         .when(~holds, "value")
     )
     out = _computed_once(staged, "reason", reason)
-    out = out.withColumn("corrupt_text", F.when(F.col("reason").isNotNull(), text)).withColumn("record", F.struct(*records))
+    out = out.withColumn("corrupt_text", F.when(F.col("reason").isNotNull(), F.coalesce("__retained", names.text))).withColumn("record", F.struct(*records))
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
@@ -123,34 +162,17 @@ def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _reads(text: Column, kind: Column, delim: Column) -> list[Column]:
-    """The permissive read, one column for each kind and delimiter: null where it is not meant,
-    a struct of the fields and the raw text of a corrupt line otherwise. Lines with quotes or
-    line ends, and lines of the wrong width, are left to the grammar."""
-    plain, reads = ~text.rlike('["\n\r]'), []
-    for name, parts in KINDS.items():
-        schema = ", ".join(f"c{i} string" for i in range(len(parts))) + ", corrupt string"
-        for d in DELIMITERS:
-            options = {"sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxColumns": "16", "nullValue": "\u0001"}
-            wide = F.length(text) - F.length(F.translate(text, d, "")) == len(parts) - 1
-            read = F.when((kind == name) & (delim == d) & plain & wide, F.from_csv(text, F.lit(schema), options))
-            reads.append(read.alias(f"{name}_{ord(d)}"))
-    return reads
-
-
-def _cells(reads: Column) -> Column:
-    """The trimmed fields of the lines that the reader took, null for all others."""
-    cells = F.lit(None).cast("array<string>")
-    for name, parts in KINDS.items():
-        for d in DELIMITERS:
-            read = reads[f"{name}_{ord(d)}"]
-            row = F.array(*[F.coalesce(read[f"c{i}"], F.lit("")) for i in range(len(parts))])
-            cells = F.when(read.isNotNull() & read["corrupt"].isNull(), F.transform(row, _trim)).otherwise(cells)
-    return cells
+def _in_bounds(value: Column, kind: str) -> Column:
+    """Whether a value that the reader took is one of its type."""
+    if kind == "id":
+        return F.coalesce(value.rlike(r"\A[0-9]+\z"), F.lit(False))
+    if kind == "ordinal":
+        return F.coalesce(value >= 0, F.lit(False))
+    return F.coalesce(value >= 1 if kind == "rank" else value.between(-1.0, 1.0), F.lit(True))
 
 
 def _split(text: Column, delim: Column) -> Column:
-    """The fields as written, or null where the quoting is broken. A leading delimiter makes
+    """The fields of a retained text as written, or null where the quoting is broken. A leading delimiter makes
     every match non-empty, so that empty fields are found too."""
     out = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
