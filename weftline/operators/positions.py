@@ -34,18 +34,14 @@ def grouped_positions(
     column called ``position`` is replaced.
     """
     ship(df.sparkSession)
-    df = df.drop("position", "__part")
+    df = df.drop("position", "__part", "__ends")
     keys = [F.col(g).asc_nulls_first() for g in groups]
     ranged = df.repartitionByRange(partitions or parallelism(df), *keys, *order).sortWithinPartitions(*keys, *order)
-    added = [T.StructField("position", T.LongType()), T.StructField("__part", T.IntegerType())]
+    added = [T.StructField("position", T.LongType()), T.StructField("__part", T.IntegerType()), T.StructField("__ends", T.LongType())]
     numbered = cut(ranged.mapInArrow(_numbering(list(groups), at_most), T.StructType(list(df.schema.fields) + added)))
-    # The first and the last group of each partition, with their number of rows there.
+    # The Arrow pass marked the last row of the first and of the last group of each partition with its position there.
     key = [F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]
-    ends = numbered.groupBy("__part").agg(
-        F.min(F.struct(*key, (-F.col("position")).alias("__n"))).alias("a"), F.max(F.struct(*key, F.col("position").alias("__n"))).alias("b")
-    )
-    ends = ends.select(F.col("__part").alias("__p"), F.explode(F.array("a", "b")).alias("e")).select("__p", "e.*")
-    ends = ends.withColumn("__n", F.abs("__n")).distinct()
+    ends = numbered.filter("__ends IS NOT NULL").select(F.col("__part").alias("__p"), F.col("__ends").alias("__n"), *key)
     before = Window.partitionBy(*[f"__g{i}" for i in range(len(groups))]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.withColumn("__before", F.sum("__n").over(before)).filter("__before > 0").drop("__n")
     same = F.col("__part") == F.col("__p")
@@ -63,7 +59,7 @@ def _numbering(groups: list[str], at_most: int | None):
     """Numbers the rows of one sorted partition within each run of equal group values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
+        part, last, seen, held, ended = TaskContext.get().partitionId(), None, 0, None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -76,11 +72,34 @@ def _numbering(groups: list[str], at_most: int | None):
             last, seen = [k.slice(batch.num_rows - 1, 1) for k in keys], int(position[-1])
             columns = [*batch.columns, pa.array(position, pa.int64()), pa.array(np.full(batch.num_rows, part, np.int32))]
             out = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "position", "__part"])
-            yield out if at_most is None else out.filter(pa.array(position <= at_most))
+            out = out if at_most is None else out.filter(pa.array(position <= at_most))
+            if not out.num_rows:
+                continue
+            # A row ends its run if the next one has position 1. The last row waits to see that.
+            starts = np.flatnonzero(out.column(out.num_columns - 2).to_numpy() == 1)
+            if held is not None:
+                ends_first = not ended and len(starts) > 0 and starts[0] == 0
+                ended = ended or ends_first
+                yield _marked(held, [0] if ends_first else [])
+            inner = starts[starts > 0]
+            rest, held = out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1, 1)
+            if rest.num_rows:
+                yield _marked(rest, [] if ended or not len(inner) else [int(inner[0]) - 1])
+            ended = ended or len(inner) > 0
+        if held is not None:
+            yield _marked(held, [0])
 
     return run
 
 
+def _marked(batch: pa.RecordBatch, rows: list[int]) -> pa.RecordBatch:
+    """Adds ``__ends``: the position at these rows, null elsewhere."""
+    at = np.zeros(batch.num_rows, dtype=bool)
+    at[rows] = True
+    position = batch.column(batch.num_columns - 2).to_numpy()
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(position, pa.int64(), mask=~at)], names=[*batch.schema.names, "__ends"])
+
+
 def _changes(keys: list[pa.Array]) -> np.ndarray:
     """Whether each row but the first differs from the row before it; nulls and NaNs are equal."""
     out = np.zeros(max(0, len(keys[0]) - 1), dtype=bool)
