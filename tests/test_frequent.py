@@ -9,9 +9,12 @@ from weftline.operators.frequent import frequent_share, join_counted, join_sprea
 
 @pytest.fixture
 def no_automatic_broadcast(spark):
+    """Nor are small partitions put together."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def tables(spark):
