@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm.groups import connected_groups
+from weftline.llm.groups import connected_groups, seeds
 from weftline.llm.topn import top_n
 
 
@@ -37,22 +40,48 @@ def shapes():
     odd = [("5", None), (None, "6"), (None, None), ("7", "7"), ("8", "9"), ("9", "8"), ("8", "9"), ("8", "10")]
     zigzag = [(name(i * 2), name(i * 2 + 1)) for i in range(30)] + [(name(i * 2 + 1), name((i * 7 + 2) % 60)) for i in range(30)]
     bipartite = [(name(i), name(900 - i * 2)) for i in range(100)] + [(name(i + 1), name(900 - i * 2)) for i in range(0, 99, 3)]
-    return {"chain": chain, "star": star, "forest": forest, "odd": odd, "zigzag": zigzag, "bipartite": bipartite, "none": []}
+    path = [(name(i), name(i + 1)) for i in range(700)]
+    rising = [(name(i), name(i + 1)) for i in range(0, 600, 2)] + [(name(i + 1), name(1200 - i)) for i in range(0, 600, 2)] + [(name(1200 - i), name(i + 2)) for i in range(0, 598, 2)]
+    return {"path": path, "rising": rising, "chain": chain, "star": star, "forest": forest, "odd": odd, "zigzag": zigzag, "bipartite": bipartite, "none": []}
 
 
+@pytest.mark.parametrize("local", [0, 40, None])
 @pytest.mark.parametrize("shape", sorted(shapes()))
-def test_groups_against_union_find(spark, shape):
+def test_groups_against_union_find(spark, shape, local):
     pairs = shapes()[shape]
+    if local is not None and shape not in ("path", "star", "odd", "forest", "none"):
+        pytest.skip("rounds over tables are tested on the other shapes")
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in pairs], "a string, b string, record_id int, u int")
-    rows = connected_groups(df, "a", "b").collect()
+    rows = connected_groups(df, "a", "b", local_edges=local).collect()
     assert {r.record_id: r.group_id for r in rows} == union_find(pairs)
     assert len(rows) == len(union_find(pairs))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
+def test_rounds_on_arrays(pairs):
+    links = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    u, v = np.array(links, np.int64).reshape(-1, 2).T
+    root = union_find([*links, *((i, i) for i in range(41))])
+    assert seeds(u, v, 41).tolist() == [root[i] for i in range(41)]
+
+
+def test_a_hub_and_a_giant_group_stay_spread(spark):
+    """A third of all edges at one vertex, most records with one parent; broadcasts are switched off but for the bounded ones."""
+    pairs = [(0, i) for i in range(1, 3000)] + [(i, i + 3000) for i in range(3000)] + [(9000 + i, 9001 + i) for i in range(300)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = connected_groups(df, "a", "b", local_edges=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.record_id: r.group_id for r in rows} == union_find(pairs)
+
+
 def test_groups_of_numbers_and_a_hub(spark):
     pairs = [(1, i) for i in range(2, 3000)] + [(5000 + i, 5001 + i) for i in range(20)]
     df = spark.createDataFrame(pairs, "a long, b long")
-    assert {r.record_id: r.group_id for r in connected_groups(df, "a", "b").collect()} == union_find(pairs)
+    assert {r.record_id: r.group_id for r in connected_groups(df, "a", "b", local_edges=100).collect()} == union_find(pairs)
 
 
 ORDER = [("sim", True), ("rank", False), ("item", False), ("row", False)]

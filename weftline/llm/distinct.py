@@ -19,11 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.terms import frequent_share
+from weftline.operators.frequent import join_counted
 from weftline.session import cut, ship
 
-#: The statistics of at most so many terms are broadcast; all others are joined by a shuffle.
-FREQUENT_TERMS = 65_536
 # Coefficients of the Lanczos approximation of the gamma function (g = 7, n = 9).
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
@@ -63,19 +61,11 @@ def with_statistics(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` rows with ``df`` (records that have the term) and ``cf`` (its occurrences).
 
     ``counts`` covers the collection, ``wanted`` are those of its rows to be scored. Terms so frequent
-    that at most ``FREQUENT_TERMS`` can be are joined by broadcast, so the bulk of all rows stays
+    that few can be are joined by broadcast, so the bulk of all rows stays
     where it is and no frequent term gathers its rows in one task.
     """
     stats = cut(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    total = stats.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    often = F.col("df") >= max(2, frequent_share(FREQUENT_TERMS, total))
-    frequent = stats.filter(often).withColumnRenamed("term", "often")
-    frequent = F.broadcast(frequent.select("often", F.col("df").alias("df1"), F.col("cf").alias("cf1")))
-    marked = wanted.join(frequent, F.col("term") == F.col("often"), "left").drop("often")
-    columns = wanted.columns
-    known = marked.filter("df1 IS NOT NULL").select(*columns, F.col("df1").alias("df"), F.col("cf1").alias("cf"))
-    rest = marked.filter("df1 IS NULL").select(*columns).join(stats.filter(~often), "term").select(*columns, "df", "cf")
-    return known.unionByName(rest)
+    return join_counted(wanted, stats, "term", "df", ["df", "cf"])
 
 
 def frequency_scores(scored: DataFrame, records: int) -> DataFrame:

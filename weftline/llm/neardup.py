@@ -11,29 +11,32 @@ To keep the number of tiles from growing with the square of the collection, clas
 in tiles that belong to one of their rarest terms: two records with ``t`` of their terms in
 common share at least one of the first ``n - ceil(t n) + 1`` terms of any fixed order of all
 terms, here the rarest first. That is exact as well; there is no cap on terms, tiles, partners
-or candidates. A frequent term's records are split into many tiles by size and hash, and each
-pair of them is a unit of work of its own.
+or candidates. The classes of a term are sorted by term and size over all partitions at once, so a
+frequent term's lie in as many partitions and tiles as they need; most terms have one tile, which is
+compared where it was sorted. Only terms of several tiles write them, to compare them with each other: T tiles
+of one term are read T times each, at most, and less where their sizes lie apart. With prefixes rarest
+first such terms are those that nearly all records have in their prefix, as in collections of very short records.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.groups import connected_groups
-from weftline.llm.terms import frequent_share
-from weftline.session import cut, ship
+from weftline.operators.frequent import frequent_share, join_counted
+from weftline.session import cut, drop, parallelism, ship
 
 #: At most so many terms are ordered by their counts; the others are rarer than all of these
 #: and ordered by hash. Any fixed order is exact, so this bounds the broadcast and nothing else.
 FREQUENT_TERMS = 65_536
-TILE = 2_048
+TILE = 4_096
 BITS = 256
 
 
@@ -57,11 +60,6 @@ class Threshold:
     def met(self, common: Column, both: Column) -> Column:
         return common * self.den >= (both - common) * self.num
 
-    @property
-    def band_width(self) -> float:
-        """Half the logarithm of the largest ratio of sizes: bands three apart never meet."""
-        return math.log(self.den / self.num) / 2
-
 
 @dataclass(frozen=True)
 class NearDuplicates:
@@ -83,19 +81,25 @@ def near_duplicates(records: DataFrame, id_column: str, terms_column: str, thres
     ship(records.sparkSession)
     clean = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(terms_column), F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))))
     docs = records.select(F.col(id_column).cast("long").alias("id"), clean.alias("terms")).filter(F.size("terms") > 0)
-    docs = cut(docs.select("id", F.to_json("terms").alias("key")))
-    classes = cut(docs.groupBy("key").agg(F.min("id").alias("class_id")).select("key", "class_id"))
-    members = docs.join(classes, "key").select("id", "class_id")
-    sets = classes.select("class_id", F.from_json("key", "array<string>").alias("terms"))
+    # The terms are known by a digest of 256 bits; they themselves go on only once for each class.
+    docs = cut(docs.select("id", F.unhex(F.sha2(F.to_json("terms"), 256)).alias("key"), "terms"))
+    classes = cut(docs.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    members = cut(join_counted(docs.select("id", "key"), classes, "key", "n", ["class_id"]).select("id", "class_id"))
+    sets = docs.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "terms")
+    sets = cut(sets)
+    drop(docs, classes)
     entries = cut(_entries(sets, threshold))
     tiles = cut(_tiles(entries, threshold, tile))
-    near = _compare(tiles, threshold)
+    drop(entries)
+    near = cut(_compare(tiles, threshold))
+    drop(tiles)
     left = sets.select(F.col("class_id").alias("class_a"), F.col("terms").alias("a"))
     right = sets.select(F.col("class_id").alias("class_b"), F.col("terms").alias("b"))
-    exact = cut(near).join(left, "class_a").join(right, "class_b")
+    exact = near.join(left, "class_a").join(right, "class_b")
     common, both = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     exact = exact.withColumn("common", common).withColumn("both", both).filter(threshold.met(F.col("common"), F.col("both")))
-    pairs = exact.select("class_a", "class_b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    pairs = cut(exact.select("class_a", "class_b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity")))
+    drop(near, sets)
     return NearDuplicates(members, pairs)
 
 
@@ -141,65 +145,123 @@ def _prefixes_and_sketches(batch: pa.RecordBatch, known: np.ndarray, counts: np.
     return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ids[of].astype(np.int64)), pa.array(n[of].astype(np.int32)), binary], names=["token", "class_id", "n", "sketch"])
 
 
+TILES = "class_a long, class_b long, token long, piece long, low int, high int, ids array<long>, sizes array<int>, sketches binary"
+
+
 def _tiles(entries: DataFrame, threshold: Threshold, tile: int) -> DataFrame:
-    """(token, band, part, rows): at most about ``tile`` entries of one token in each.
+    """Pairs (class_a, class_b) within the radius inside one tile; and tiles (token, piece, low, high, ids, sizes, sketches) that
+    other tiles of the same token may follow or precede: those of tokens with more than ``tile`` entries in a
+    partition, and those at the edge of a partition. Pieces of a token are in order of size."""
+    ordered = entries.repartitionByRange(parallelism(entries), "token", "n", "class_id").sortWithinPartitions("token", "n")
 
-    A token with few entries has one tile, of band -1. A token with many has tiles by
-    size band, and by hash within a band. Tokens of one class only are no tile.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(threshold.band_width)).cast("int")
-    banded = entries.withColumn("band", band)
-    counts = banded.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy("token"))).filter(F.col("all") > 1)
-    parts = F.when(F.col("all") <= tile, 1).otherwise(F.ceil(F.col("c") / tile))
-    joined = banded.join(counts.select("token", "band", "all", parts.cast("int").alias("parts")), ["token", "band"])
-    placed = joined.select(
-        "token",
-        F.when(F.col("all") <= tile, -1).otherwise(F.col("band")).alias("band"),
-        F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"),
-        F.struct("class_id", "n", "sketch").alias("row"),
-    )
-    return placed.groupBy("token", "band", "part").agg(F.collect_list("row").alias("rows"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, rest, begun = TaskContext.get().partitionId(), 0, None, None
+        first = True  # the token that the partition begins with may have entries in the one before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _columns(batch)
+            rows = rows if rest is None else tuple(np.concatenate(c) for c in zip(rest, rows))
+            token = rows[0]
+            last = int(np.searchsorted(token, token[-1]))  # where the last token, which may go on, begins
+            bounds = _cut_points(token[:last], tile)
+            while len(token) - last >= 2 * tile:  # a whole tile of it is there, and more
+                bounds.append(last + tile)
+                last += tile
+                begun = token[-1]
+            if len(bounds) > 1 or bounds[-1]:
+                done = tuple(c[: bounds[-1]] for c in rows)
+                out, made = _compared(done, bounds, threshold, part, made, first, begun)
+                yield from out
+                first = first and token[bounds[-1] - 1] == token[-1] == token[0]
+            rest = tuple(c[bounds[-1] :] for c in rows)
+        if rest is not None:
+            # The token that the partition ends with may go on in the next one.
+            out, made = _compared(rest, _cut_points(rest[0], tile), threshold, part, made, first, rest[0][-1])
+            yield from out
+
+    return ordered.mapInArrow(run, TILES)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Token, id, size and sketch words."""
+    token, ids, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    return token, ids, n, _words(batch.column(3))
+
+
+def _words(sketches: pa.Array) -> np.ndarray:
+    if not len(sketches):
+        return np.empty((0, BITS // 64), np.uint64)
+    first = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset]
+    return np.frombuffer(sketches.buffers()[2], np.uint8)[first : first + len(sketches) * (BITS // 8)].view(np.uint64).reshape(len(sketches), BITS // 64)
+
+
+def _cut_points(token: np.ndarray, tile: int) -> list[int]:
+    """Where tiles end: at the end of each token, and after ``tile`` rows of one. Begins with 0."""
+    if not len(token):
+        return [0]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    lengths = np.diff(np.append(starts, len(token)))
+    if (lengths <= tile).all():
+        return [0, *(starts + lengths).tolist()]
+    return [0, *[int(s + min(k, n)) for s, n in zip(starts, lengths) for k in range(tile, n + tile, tile)]]
+
+
+def _compared(rows: tuple, bounds: list[int], threshold: Threshold, part: int, made: int, first: bool, open_token) -> tuple[list[pa.RecordBatch], int]:
+    """The pairs of all tiles, and the tiles that may have to meet others."""
+    token, ids, n, words = rows
+    ends = np.array(bounds[1:])
+    begins = np.array(bounds[:-1])
+    of = token[begins]
+    several = np.concatenate([[False], of[1:] == of[:-1]]) | np.concatenate([of[1:] == of[:-1], [False]])
+    if open_token is not None:
+        several |= of == open_token
+    if first:
+        several |= of == token[0]
+    sizes = ends - begins
+    x, y = _within((np.repeat(np.arange(len(sizes)), sizes), ids, n, words), threshold)
+    empty = lambda t, k: pa.nulls(k, t)
+    schema = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("token", pa.int64()), ("piece", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sketches", pa.binary())])
+    out = []
+    if len(x):
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        near = np.unique(np.stack([low, high]), axis=1)
+        out.append(pa.RecordBatch.from_arrays([pa.array(near[0]), pa.array(near[1]), *[empty(f.type, near.shape[1]) for f in schema][2:]], schema=schema))
+    for i in np.flatnonzero(several):
+        a, b = begins[i], ends[i]
+        values = [None, None, int(of[i]), (part << 32) + made, int(n[a]), int(n[b - 1]), ids[a:b], n[a:b].astype(np.int32), words[a:b].tobytes()]
+        out.append(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema))
+        made += 1
+    return out, made
 
 
 def _compare(tiles: DataFrame, threshold: Threshold) -> DataFrame:
     """(class_a, class_b), distinct: all pairs within and between tiles of a token whose sketches
     lie within the radius."""
-    own = tiles.select(F.col("rows").alias("a"), F.lit(None).cast(tiles.schema["rows"].dataType).alias("b"))
-    split = tiles.filter("band >= 0")
-    names = split.select("token", "band", "part")
-    other = names.select("token", F.col("band").alias("band_b"), F.col("part").alias("part_b"))
-    # Bands three apart differ in size beyond the threshold: their tile pairs are skipped.
-    meet = names.join(other, "token").filter("(band_b = band AND part_b > part) OR (band_b > band AND band_b <= band + 2)")
-    pairs = meet.join(split.withColumnRenamed("rows", "a"), ["token", "band", "part"])
-    pairs = pairs.join(split.select("token", F.col("band").alias("band_b"), F.col("part").alias("part_b"), F.col("rows").alias("b")), ["token", "band_b", "part_b"])
+    split = tiles.filter("piece IS NOT NULL")
+    names = split.select("token", "piece", "low", "high")
+    other = names.select("token", F.col("piece").alias("piece_b"), F.col("low").alias("low_b"))
+    # Pieces are in order of size. Where the smallest of one is too large for the largest of another, the pair is skipped.
+    meet = names.join(other, "token").filter(F.col("piece_b") > F.col("piece")).filter(F.col("low_b") * threshold.num <= F.col("high") * threshold.den)
+    columns = ["ids", "sizes", "sketches"]
+    pairs = meet.select("piece", "piece_b").join(split.select("piece", *columns), "piece")
+    pairs = pairs.join(split.select(F.col("piece").alias("piece_b"), *[F.col(c).alias(f"{c}_b") for c in columns]), "piece_b").select(*columns, *[f"{c}_b" for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            single = b.is_null().to_numpy(zero_copy_only=False)
-            found = [_within(_unpack(a.filter(pa.array(single))), threshold)] if single.any() else []
-            for i in np.flatnonzero(~single):
-                found.append(_between(_unpack(a.slice(i, 1)), _unpack(b.slice(i, 1)), threshold))
-            x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["class_a", "class_b"])
-
-    out = own.unionByName(pairs.select("a", "b"))
-    return out.mapInArrow(run, "class_a long, class_b long").distinct()
-
-
-def _unpack(tiles: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tile number, id, size and sketch words of all rows, ordered by tile and size."""
-    sizes = np.diff(tiles.offsets.to_numpy())
-    rows = tiles.flatten()
-    tile = np.repeat(np.arange(len(sizes)), sizes)
-    ids, n = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-    sketch = rows.field(2)
-    start = sketch.buffers()[1]
-    first = np.frombuffer(start, np.int32)[sketch.offset]
-    words = np.frombuffer(sketch.buffers()[2], np.uint8)[first : first + len(rows) * (BITS // 8)].view(np.uint64).reshape(len(rows), BITS // 64) if len(rows) else np.empty((0, BITS // 64), np.uint64)
-    order = np.lexsort((n, tile))
-    return tile[order], ids[order], n[order], words[order]
+            for i in range(batch.num_rows):
+                x, y = _between(_unpack(batch, i, 0), _unpack(batch, i, 3), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["class_a", "class_b"])
+
+    between = pairs.mapInArrow(run, "class_a long, class_b long")
+    return tiles.filter("class_a IS NOT NULL").select("class_a", "class_b").unionByName(between).filter("class_a != class_b").distinct()
+
+
+def _unpack(batch: pa.RecordBatch, row: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Id, size and sketch words of a tile, which is in order of size."""
+    ids, n = (batch.column(at + k).slice(row, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    words = np.frombuffer(batch.column(at + 2)[row].as_py(), np.uint64).reshape(len(ids), BITS // 64)
+    return np.zeros(len(ids), np.int64), ids, n, words
 
 
 def _within(rows, threshold: Threshold, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

@@ -48,14 +48,14 @@ def _named(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return pairs.select(F.explode(F.array(*columns)).alias("doc_idx")).filter("doc_idx IS NOT NULL").distinct()
 
 
-def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, NearDuplicates]:
-    records = cut(_feature_terms(spark, sf_dir).join(_named(spark, sf_dir, "doc_j"), "doc_idx", "left_semi"))
-    return records, near_duplicates(records, "doc_idx", "terms")
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    named = cut(_named(spark, sf_dir, "doc_j"))
+    return near_duplicates(_feature_terms(spark, sf_dir).join(named, "doc_idx", "left_semi"), "doc_idx", "terms")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, near = _near(spark, sf_dir)
-    bugs = records.select(F.col("doc_idx").cast("long").alias("id"), "bug_id")
+    near = _near(spark, sf_dir)
+    bugs = load(spark, sf_dir, "features").select(F.col("doc_idx").cast("long").alias("id"), "bug_id")
     members = cut(near.members.join(bugs, "id"))
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
     pairs = near.pairs.select("class_a", "class_b")
@@ -67,14 +67,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(_near(spark, sf_dir)[1]).withColumnRenamed("id", "doc_idx")
+    return near_duplicate_groups(_near(spark, sf_dir)).withColumnRenamed("id", "doc_idx")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """Counts of the whole corpus, the wanted records' rows with statistics, and N."""
     features = _feature_terms(spark, sf_dir)
     counts = cut(term_counts(features, "doc_idx", "terms"))
-    wanted = counts.join(_named(spark, sf_dir, "title_i", "doc_j").select(F.col("doc_idx").cast("long").alias("id")), "id", "left_semi")
+    wanted = counts.join(cut(_named(spark, sf_dir, "title_i", "doc_j").select(F.col("doc_idx").cast("long").alias("id"))), "id", "left_semi")
     return counts, with_statistics(counts, wanted), load(spark, sf_dir, "features").count()
 
 

@@ -15,8 +15,3 @@ def terms_of(title: Column, body: Column) -> Column:
     empty = F.lit("")
     text = F.lower(F.concat(F.coalesce(title, empty), F.lit(" "), F.coalesce(body, empty)))
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-
-
-def frequent_share(bound: int, total: int) -> int:
-    """The least count that at most ``bound`` keys can reach when all counts sum to ``total``."""
-    return total // bound + 1
