@@ -91,6 +91,26 @@ def test_hypergeometric_tail_is_exact():
     assert np.allclose(D.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12)
 
 
+@pytest.mark.parametrize("total", [10**7, 10**11, 10**13])
+def test_tail_of_a_large_collection(total):
+    """Against whole numbers: the common factors of the first term and the others, without a rounding."""
+    rng = random.Random(total)
+    for _ in range(12):
+        marked, n = rng.choice([1, 7, 300, total // 10**5, total // 50]), rng.choice([1, 40, 900, 3000])
+        k = rng.randrange(1, min(n, marked, 60) + 1)
+        if k <= n * marked / total:
+            continue
+        ways = math.comb(marked, k) * math.comb(total - marked, n - k)
+        first, tail = ways, ways
+        for x in range(k, min(n, marked)):
+            ways = ways * (marked - x) * (n - x) // ((x + 1) * (total - marked - n + x + 1))
+            tail += ways
+            if ways * 10**30 < first:
+                break
+        exact = math.log10(tail) - math.log10(math.comb(total, n))
+        assert abs(D.log10_upper_tail([k], [n], [marked], total)[0] - exact) < 1e-9
+
+
 def test_counts_and_enrichment(spark):
     rows = [(0, ["a", "a", "b"]), (1, ["b", "c"]), (2, ["b", None]), (3, None), (4, [])]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc int, terms array<string>, term string, tf int")

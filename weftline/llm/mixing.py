@@ -2,9 +2,10 @@
 
 Systematic sampling: within a source every record expects the same number of copies. The
 running sum of these expectations, moved by one random offset, crosses a whole number once
-for each copy. Records are taken in order of size, so the copies are spread evenly over short
-and long ones, and the running sum is the exact position times the expectation: no rounding
-error builds up however many records there are.
+for each copy; so each record is used as often as it expects, or that number rounded up, with equal chances.
+Records are taken in order of size: between two crossings all are of nearly one size, so the size drawn differs from the
+expected one by the size of the largest record at most, whatever the offset. The running sum is the exact position
+times the expectation: no rounding error builds up however many records there are.
 """
 
 from __future__ import annotations
@@ -44,15 +45,16 @@ def expected_copies(available: dict[str, float], targets: dict[str, tuple[float,
     return {s: min(float(cap), total * share / shares / available[s]) for s, (share, cap) in usable.items()}
 
 
-def mix(records: DataFrame, id_column: str, source_column: str, size_column: str, targets: DataFrame, total: float | None = None, seed: int = 17, offsets: int = 16) -> Mix:
+def mix(records: DataFrame, id_column: str, source_column: str, size_column: str, targets: DataFrame, total: float | None = None, seed: int = 17) -> Mix:
     """Copies of every record so that sources hold their target shares of the total size.
 
     ``targets`` has source, target_share and max_repeats; one row per source (of repeated rows the
     least share and cap hold), null shares and caps are 0. No record is used more often than its
     source's cap. Records whose source is null, unknown to the targets, or without size take no
     part; the report names all sources. Records of size null or 0 add nothing and have 0 copies.
-    Offsets are random but depend on ``seed`` and source only, so runs repeat exactly; of so many
-    as ``offsets`` says, each source uses the one whose size comes nearest its goal. The target
+    Each source has one random offset, which depends on ``seed`` and its name only, so runs repeat exactly.
+    The report gives, beside the shares, the size that each source should have (``size_goal``), by how much the
+    size it has differs (``size_error``), and what that can be at most (``error_bound``: its largest record). The target
     table is small by nature (a row per source) and is read by the driver.
     """
     sized = cut(records.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.col(size_column).cast("long"), F.lit(0)).alias("size")))
@@ -66,19 +68,20 @@ def mix(records: DataFrame, id_column: str, source_column: str, size_column: str
     rate = expected_copies(available, goal, total)
     usable = sum(goal[s][0] for s in rate)
     placed = cut(grouped_positions(known.filter("size > 0"), ["source"], [F.col("size"), F.col("id")]))
-    start = _offsets(placed, rate, available, seed, offsets)
-    rows = [(s, share, cap, share / usable if s in rate else 0.0, rate.get(s, 0.0), start.get(s, 0.0)) for s, (share, cap) in sorted(goal.items())]
-    plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, reachable_share double, rate double, start double")
+    start = {s: random.Random(f"{seed}:{s}").random() for s in rate}
+    rows = [(s, share, cap, share / usable if s in rate else 0.0, rate.get(s, 0.0), start.get(s, 0.0), rate.get(s, 0.0) * available.get(s, 0.0)) for s, (share, cap) in sorted(goal.items())]
+    plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, reachable_share double, rate double, start double, size_goal double")
     drawn = placed.join(F.broadcast(plan), "source").select("id", "source", "size", _crossings(F.col("start"), F.col("rate")).alias("copies"))
     copies = cut(drawn.unionByName(known.filter("size <= 0").withColumn("copies", F.lit(0).cast("long"))))
     used = copies.groupBy("source").agg(
         F.count(F.lit(1)).alias("records"), F.sum("size").alias("size_available"), F.sum(F.col("size") * F.col("copies")).alias("size_used"),
-        F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"),
+        F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"), F.max("size").cast("double").alias("error_bound"),
     )
     outside = sized.join(F.broadcast(names), "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("size").alias("size_available"))
     everything = used.unionByName(outside, allowMissingColumns=True)
     report = plan.drop("rate", "start").join(everything, "source", "full_outer")
-    report = report.na.fill(0, ["target_share", "reachable_share", "max_repeats", "records", "size_available", "size_used", "copies", "most_repeats"])
+    report = report.na.fill(0, ["target_share", "reachable_share", "max_repeats", "records", "size_available", "size_used", "copies", "most_repeats", "size_goal", "error_bound"])
+    report = report.withColumn("size_error", F.col("size_used") - F.col("size_goal"))
     total_used = float(copies.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0)
     report = report.withColumn("actual_share", F.col("size_used") / F.lit(total_used or 1.0))
     return Mix(copies, report)
@@ -88,17 +91,3 @@ def _crossings(start: Column, rate: Column) -> Column:
     """Whole numbers that the moved running sum crosses at a record."""
     position = F.col("position")
     return (F.floor(start + rate * position) - F.floor(start + rate * (position - 1))).cast("long")
-
-
-def _offsets(placed: DataFrame, rate: dict[str, float], available: dict[str, float], seed: int, tries: int) -> dict[str, float]:
-    """For each source the offset, of some random ones, that comes nearest the expected size: one
-    aggregation for all sources and offsets, with a row for each source."""
-    draws = {s: [random.Random(f"{seed}:{s}:{i}").random() for i in range(tries)] for s in rate}
-    if not draws:
-        return {}
-    rows = [(s, rate[s], u) for s, u in draws.items()]
-    plan = placed.sparkSession.createDataFrame(rows, "source string, rate double, starts array<double>")
-    sums = [F.sum(F.col("size") * _crossings(F.col("starts")[i], F.col("rate"))).alias(f"s{i}") for i in range(tries)]
-    drawn = placed.join(F.broadcast(plan), "source").groupBy("source").agg(*sums).collect()
-    best = {r["source"]: min(range(tries), key=lambda i: (abs(r[f"s{i}"] - rate[r["source"]] * available[r["source"]]), i)) for r in drawn}
-    return {s: draws[s][i] for s, i in best.items()}
