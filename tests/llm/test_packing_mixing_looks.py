@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import looks
 from weftline.llm.mixing import expected_copies, mix
-from weftline.llm.packing import pack, plan_bins
+from weftline.llm.packing import pack, pack_each, plan_bins
 from weftline.llm.tokens import with_tokens
 
 
@@ -61,6 +61,26 @@ def test_pack(spark):
     assert pack(df.limit(0), "id", "size", 100).count() == 0
 
 
+def test_each_capacity_is_packed_as_if_alone(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, 0, 7, 7, 30, 31, 200, 400, rng.randrange(1, 900)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, size int").repartition(5)
+    out = pack_each(df, "id", "size", [31, 200, 100, 100]).collect()
+    for capacity in (31, 100, 200):
+        own = [r for r in out if r.capacity == capacity]
+        alone = pack(df, "id", "size", capacity).collect()
+        fill = Counter()
+        for r in own:
+            if r.bin_id is not None:
+                fill[r.bin_id] += r.length
+        assert max(fill.values()) <= capacity and sorted(fill) == list(range(len(fill)))
+        assert sorted((r.id, r.piece, r.offset, r.length) for r in own) == sorted((r.id, r.piece, r.offset, r.length) for r in alone)
+        assert len(fill) == len({r.bin_id for r in alone} - {None}) and {r.id for r in own} == {i for i, _ in rows}
+    assert pack_each(df, "id", "size", []).count() == 0
+    with pytest.raises(ValueError):
+        pack_each(df, "id", "size", [5, 0])
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 9), (2, "", 9), (3, None, 9), (4, "<|endoftext|>", 9), (5, "word " * 20_000, 9)], "id int, text string, n_tokens int")
     got = {r.id: r.n_tokens for r in with_tokens(df, "text").collect()}

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.frequent import join_counted
 from weftline.session import cut, ship
 
 # Letters of other alphabets that are drawn like a Latin letter.
@@ -284,14 +285,20 @@ def same_look_classes(docs: DataFrame, id_column: str, text_column: str) -> Data
     Null, empty and blank texts show nothing and are left out. Ids are unique integers;
     further columns are not read.
     """
+    rows, forms = _forms(docs, id_column, text_column)
+    return join_counted(rows, forms, "raw", "n", ["look_id", "form_id", "n_forms"]).select("id", "look_id", "form_id", "n_forms")
+
+
+def _forms(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, raw)`` of every document that shows something, and ``(raw, n, look_id, form_id, n_forms)`` of every stored form; texts and
+    looks are known by digests. A stored form has one look, so documents are joined on their form alone, and looks with forms only."""
     ship(docs.sparkSession)
     seen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
-    forms = seen.select("id", F.md5("text").alias("raw"), common_form(F.col("text")).alias("form"))
-    hashed = forms.filter(F.col("form").rlike(r"[^\s]")).select("id", "raw", F.sha2("form", 256).alias("look"))
-    hashed = cut(hashed)
-    stored = hashed.groupBy("look", "raw").agg(F.min("id").alias("form_id"))
-    looks = stored.groupBy("look").agg(F.min("form_id").alias("look_id"), F.count(F.lit(1)).alias("n_forms"))
-    return hashed.join(stored, ["look", "raw"]).join(looks, "look").select("id", "look_id", "form_id", "n_forms")
+    forms = seen.select("id", F.unhex(F.sha2("text", 256)).alias("raw"), common_form(F.col("text")).alias("form"))
+    rows = cut(forms.filter(F.col("form").rlike(r"[^\s]")).select("id", "raw", F.unhex(F.sha2("form", 256)).alias("look")))
+    stored = cut(rows.groupBy("raw").agg(F.min("id").alias("form_id"), F.count(F.lit(1)).alias("n"), F.first("look").alias("look")))
+    looks = cut(stored.groupBy("look").agg(F.min("form_id").alias("look_id"), F.count(F.lit(1)).alias("n_forms")))
+    return rows.select("id", "raw"), cut(join_counted(stored, looks, "look", "n_forms", ["look_id", "n_forms"]).select("raw", "n", "look_id", "form_id", "n_forms"))
 
 
 def same_look_pairs(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -300,8 +307,10 @@ def same_look_pairs(docs: DataFrame, id_column: str, text_column: str) -> DataFr
     Stored forms are paired once for each look that has several, then expanded to their
     documents; documents whose look has one form never reach a join on the look.
     """
-    classes = cut(same_look_classes(docs, id_column, text_column).filter("n_forms > 1"))
-    forms = classes.select("look_id", "form_id").distinct()
+    rows, stored = _forms(docs, id_column, text_column)
+    stored = stored.filter("n_forms > 1")
+    classes = cut(join_counted(rows, stored, "raw", "n", ["look_id", "form_id"]).select("id", "look_id", "form_id"))
+    forms = stored.select("look_id", "form_id")
     other = forms.select("look_id", F.col("form_id").alias("form_b"))
     pairs = forms.withColumnRenamed("form_id", "form_a").join(other, "look_id").filter("form_a < form_b").select("form_a", "form_b")
     left = classes.select(F.col("form_id").alias("form_a"), F.col("id").alias("a"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm.looks import LOOK_ALIKES
-
 SQL: dict[str, str] = {}
 
+# Letters of other alphabets and the Latin ones they look like, written down apart from the operator's table.
+_LETTERS = "А=A В=B Е=E Ѕ=S І=I Ј=J К=K М=M Н=H О=O Р=P С=C Т=T У=Y Х=X а=a е=e ѕ=s і=i ј=j о=o р=p с=c у=y х=x ԁ=d ԛ=q ԝ=w һ=h Α=A Β=B Ε=E Ζ=Z Η=H Ι=I Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Υ=Y Χ=X ο=o ν=v ɑ=a ɡ=g"
+
 _TRIM = "nullif(trim({0}, E' \\t\\r'), '')"
 _LINKS = f"l AS (SELECT match_id, {_TRIM.format('feature_id')} AS a, {_TRIM.format('dup_id')} AS b, rank, sim FROM duplicateslsa_lo_sy_dw_sm_sc_ac)"
 
@@ -61,7 +62,7 @@ def _same_look() -> str:
     blanks = [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
     a = wide[0] + "".join(map(chr, blanks)) + "ёЁїЇ"
     b = wide[1] + " " * len(blanks) + "ëËïÏ"
-    for theirs, ours in LOOK_ALIKES.values():
+    for theirs, ours in (pair.split("=") for pair in _LETTERS.split()):
         a, b = a + theirs, b + ours
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     return f"nfc_normalize(translate({text}, {quote(a)}, {quote(b)}))"

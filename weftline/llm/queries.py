@@ -10,7 +10,7 @@ from weftline.llm.groups import connected_groups
 from weftline.llm.looks import same_look_classes, same_look_pairs
 from weftline.llm.mixing import mix
 from weftline.llm.neardup import NearDuplicates, near_duplicate_groups, near_duplicates
-from weftline.llm.packing import pack
+from weftline.llm.packing import pack_each
 from weftline.llm.terms import terms_of
 from weftline.llm.tokens import with_tokens
 from weftline.llm.topn import top_n
@@ -91,13 +91,11 @@ def p5_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(with_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
-    out = spark.createDataFrame([], "pack_name string, bin_id long, doc_id long, piece long, offset long, length long")
+    docs = with_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     # One row per kind of pack: a handful.
-    for name, capacity in load(spark, sf_dir, "pack_capacities").orderBy("capacity_tokens", "pack_name").collect():
-        packs = pack(docs, "doc_id", "n_tokens", capacity).select(F.lit(name).alias("pack_name"), "bin_id", F.col("id").alias("doc_id"), "piece", "offset", "length")
-        out = out.unionByName(packs)
-    return out
+    names = load(spark, sf_dir, "pack_capacities").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity"))
+    packs = pack_each(docs, "doc_id", "n_tokens", [r["capacity"] for r in names.collect()])
+    return packs.join(F.broadcast(names), "capacity").select("pack_name", "bin_id", F.col("id").alias("doc_id"), "piece", "offset", "length")
 
 
 def _mixed(spark: SparkSession, sf_dir: str):
