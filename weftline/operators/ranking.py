@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.blocks import DIGITS, records_above, sparse_vectors
+from weftline.operators.blocks import corrected_similarities, dense_similarities, dense_units, ranked, sparse_similarities, sparse_vectors
 from weftline.operators.positions import grouped_positions
 from weftline.session import cut
 
@@ -54,23 +54,34 @@ def duplicate_ranks(records: DataFrame, similarities: DataFrame, known: DataFram
 
 
 def duplicate_ranks_of_vectors(records: DataFrame, units: DataFrame, known: DataFrame) -> DataFrame:
-    """The same result as ``duplicate_ranks`` from normalised vectors (idx, term, u), in blocks.
+    """The same result as ``duplicate_ranks`` from normalised sparse vectors (idx, t, u), without any table of similarities: the
+    documents are scanned where they are, and each query only counts the records above its duplicate."""
+    vectors = sparse_vectors(units)
+    return _ranks(records, known, vectors, vectors, sparse_similarities)
 
-    The duplicates' own similarities come from a small join; then each query only counts the records
-    above its duplicate, block against tile, without any table of similarities.
-    """
+
+def duplicate_ranks_of_coordinates(records: DataFrame, coordinates: DataFrame, known: DataFrame) -> DataFrame:
+    """The same from dense vectors (idx, coords); records without one are similar to nothing."""
+    units = dense_units(coordinates)
+    return _ranks(records, known, units, units, dense_similarities)
+
+
+def _ranks(records: DataFrame, known: DataFrame, documents: DataFrame, queries: DataFrame, similarities) -> DataFrame:
+    """Ranks of known duplicates by ``blocks.ranked``. The key of an id is its first record's ordinal."""
     asked = cut(known.select(F.col("idx").alias("q"), F.col("id").alias("q_id"), "duplicate_id"))
-    own = asked.select("q", "duplicate_id").join(records.select(F.col("id").alias("duplicate_id"), F.col("idx").alias("c")), "duplicate_id").select("q", "c")
-    left, right = units.select(F.col("idx").alias("q"), "term", F.col("u").alias("a")), units.select(F.col("idx").alias("c"), "term", F.col("u").alias("b"))
-    sims = own.join(left, "q").join(right, ["c", "term"]).groupBy("q", "c").agg(F.round(F.sum(F.col("a") * F.col("b")), DIGITS).alias("sim"))
-    scored = own.join(sims, ["q", "c"], "left").select("q", "c", F.coalesce("sim", F.lit(0.0)).alias("sim"))
-    hits = _first_entries(scored)
-    documents = cut(records.select("idx", F.xxhash64("id").alias("key")).join(sparse_vectors(units), "idx", "left"))
-    queries = cut(hits.select(F.col("q").alias("idx"), "s", "d").join(documents, "idx"))
-    above = records_above(documents, queries).join(hits.withColumnRenamed("q", "idx"), "idx")
-    out = above.join(asked.withColumnRenamed("q", "idx"), "idx")
+    first = first_of_id(records)
+    keyed = records.select("idx", "id").join(first.select("id", F.col("idx").cast("long").alias("key")), "id").select("idx", "key")
+    keyed = cut(keyed)
+    wanted = asked.join(first.select(F.col("id").alias("duplicate_id"), F.col("idx").cast("long").alias("wanted")), "duplicate_id").select(F.col("q").alias("idx"), "wanted")
+    places = ranked(keyed.join(documents, "idx", "left"), wanted.join(keyed, "idx").join(queries, "idx", "left"), similarities)
     kind = records.schema["idx"].dataType
-    return out.select(F.col("idx").cast(kind).alias("idx"), F.col("q_id").alias("id"), "duplicate_id", (F.col("above") + 1).alias("rank"), F.col("s").alias("sim"))
+    out = places.join(asked.withColumn("idx", F.col("q").cast("long")), "idx")
+    return out.select(F.col("idx").cast(kind).alias("idx"), F.col("q_id").alias("id"), "duplicate_id", "rank", F.col("s").alias("sim"))
+
+
+def title_description_ranks(records: DataFrame, known: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """The same for queries that change the weights they meet, from the two tables of ``tvd.vectors``."""
+    return _ranks(records, known, documents, queries, corrected_similarities)
 
 
 def _first_entries(of_duplicate: DataFrame) -> DataFrame:

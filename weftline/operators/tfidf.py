@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from weftline.config import TextConfig
 from weftline.functions.text import tokens
+from weftline.operators.frequent import join_counted
 from weftline.operators.positions import grouped_positions
+from weftline.session import cut
 
 
 def tokenise(docs: DataFrame, config: TextConfig = TextConfig(), idx: str = "idx", text: str = "doc") -> DataFrame:
@@ -53,15 +55,16 @@ def vocabulary_size(numbered: DataFrame) -> DataFrame:
 
 
 def weights(tf: DataFrame, n_docs: int, config: TextConfig = TextConfig()) -> DataFrame:
-    """``(idx, term, tf, df, w)``. Terms that are in every document weigh 0 and stay.
+    """``(idx, term, t, tf, df, w)``. Terms that are in every document weigh 0 and stay. ``t`` is a number of the term of no meaning,
+    by which vectors are compared instead of by text.
 
-    The statistics are joined on the term, with Spark choosing and, for frequent terms, splitting
-    the join; the largest counts need one window over a document's own terms.
+    Rows of frequent terms stay where they are when they meet the statistics; the largest counts need one window over a document's
+    own terms.
     """
-    statistics = pruned(term_statistics(tf), config).select("term", "df")
-    kept = tf.join(statistics, "term")
+    statistics = cut(pruned(term_statistics(tf), config).select("term", "df", F.monotonically_increasing_id().alias("t")))
+    kept = join_counted(tf, statistics, "term", "df", ["df", "t"])
     most = F.max("tf").over(Window.partitionBy("idx"))
-    return kept.select("idx", "term", "tf", "df", (F.col("tf") / most * idf(F.col("df"), n_docs)).alias("w"))
+    return kept.select("idx", "term", "t", "tf", "df", (F.col("tf") / most * idf(F.col("df"), n_docs)).alias("w"))
 
 
 def idf(df: Column, n_docs: int) -> Column:

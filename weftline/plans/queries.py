@@ -329,26 +329,47 @@ def e11_hit_rates(spark, sf_dir):
     return rates.select("n_duplicates", F.round("hit_10", 6).alias("hit_10"), F.round("hit_20", 6).alias("hit_20"))
 
 
-@query
-def h3_title_description(spark, sf_dir):
-    """Known duplicates asked with title and description only, against full documents with comments."""
-    config = TextConfig(lower=True, all_comments=True)
-    full = cut(_tf(spark, sf_dir, config))
-    short = cut(_tf(spark, sf_dir, PLAIN))
+FULL = TextConfig(lower=True, all_comments=True)
+
+
+def _both_forms(spark, sf_dir):
+    """Counts of documents with all comments, and of titles with descriptions."""
+    return cut(_tf(spark, sf_dir, FULL)), cut(_tf(spark, sf_dir, PLAIN))
+
+
+def _title_description_ranks(spark, sf_dir, config: TextConfig = TextConfig()) -> DataFrame:
+    full, short = _both_forms(spark, sf_dir)
     r = records(spark, sf_dir)
     known = cut(ranking.known_duplicates(r))
-    sims = tvd.title_description_similarities(full, short, r.count(), known).withColumn("sim", F.round("sim", 9))
-    ranks = ranking.duplicate_ranks(r, sims, known)
+    ranks = ranking.title_description_ranks(r, known, *tvd.vectors(full, short, r.count(), r, known, config))
     return ranks.select("idx", "id", "duplicate_id", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query
+def h3_title_description(spark, sf_dir):
+    """Known duplicates asked with title and description only, against full documents with comments."""
+    return _title_description_ranks(spark, sf_dir)
+
+
+@query
+def h4_pruned_title_description(spark, sf_dir):
+    """The same where terms that are once, or in one document, in the corpus that the query sees are dropped."""
+    return _title_description_ranks(spark, sf_dir, TextConfig(single_terms=True, single_document_terms=True))
+
+
 @query
 def b3_title_description_pairs(spark, sf_dir):
     """The whole cross-reference table: every record, with title and description only, against all later records."""
-    full = cut(_tf(spark, sf_dir, TextConfig(lower=True, all_comments=True)))
-    short = cut(_tf(spark, sf_dir, PLAIN))
     r = cut(records(spark, sf_dir).select("idx"))
-    return tvd.title_description_pairs(full, short, r.count(), r)
+    return tvd.title_description_pairs(*_both_forms(spark, sf_dir), r.count(), r)
+
+
+@query
+def b3_cross_reference_rows(spark, sf_dir):
+    """The rows of the cross-reference file: pairs above the cut, with ids."""
+    r = cut(records(spark, sf_dir).select("idx", "id"))
+    pairs = tvd.title_description_pairs(*_both_forms(spark, sf_dir), r.count(), r, cut_off=0.5)
+    return writers.pair_rows(pairs, r).select("Title_i", "ID_i", "Doc_j", "ID_j", F.round(F.col("Cosine Similarity").cast("double"), 4).alias("sim"))
 
 
 def _two_ids(spark, sf_dir):
