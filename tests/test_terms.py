@@ -117,6 +117,13 @@ def test_two_records(spark):
     assert v == {"apple": (0.202733, 0.405465), "banana": (0.405465, 0.0), "cherry": (0.0, 0.405465)}
 
 
+def low_rank(result):
+    """The low-rank matrix in the order of idx and term."""
+    docs = np.array([r["coords"] for r in result.documents.orderBy("idx").collect()])
+    terms = np.array([r["coords"] for r in result.terms.orderBy("term").collect()])
+    return docs @ (terms / np.array(result.values)).T
+
+
 def test_full_rank_lsa_equals_weights(spark):
     rng = np.random.default_rng(1)
     docs = [(i, " ".join(rng.choice(["a1", "b2", "c3", "d4", "e5", "f6", "g7"], 6))) for i in range(12)]
@@ -129,7 +136,7 @@ def test_full_rank_lsa_equals_weights(spark):
     exact = {(r.j, r.i): r.sim for r in similarity.similar_pairs(w, 1e-9).collect()}
     assert all(abs(s - exact.get(k, 0.0)) < 1e-6 for k, s in reduced.items())
     assert result.values == sorted(result.values, reverse=True)
-    matrix = lsa.low_rank(lsa.lsa(w, vocab, LsaConfig(k=1)))
+    matrix = low_rank(lsa.lsa(w, vocab, LsaConfig(k=1)))
     assert np.linalg.matrix_rank(matrix, tol=1e-6) == 2  # one more than asked for
     terms = lsa.pair_cosines(result.terms.withColumnRenamed("term", "idx"), spark.createDataFrame([("a1", "a1")], "i string, j string"))
     assert abs(terms.first()["sim"] - 1) < 1e-9
@@ -271,7 +278,7 @@ def test_ratio_rule_keeps_all_values_that_meet_it(spark, monkeypatch):
     for r in w.collect():
         matrix[r.idx, place[r.term]] = r.w
     s = np.linalg.svd(matrix, compute_uv=False)
-    monkeypatch.setattr(lsa, "WIDE", 3)
+    monkeypatch.setattr(lsa, "SLICE_BYTES", 8 * 20 * 3)
     for config, n in ((LsaConfig(ratio=0.4, largest=2), int((s / s[0] >= 0.4).sum())), (LsaConfig(largest=2), int((s / s[0] >= 0.04).sum())), (LsaConfig(k=-1, largest=2), 20)):
         result = lsa.lsa(w, vocab, config)
         assert n > 2 and np.allclose(result.values, s[:n])
@@ -279,6 +286,39 @@ def test_ratio_rule_keeps_all_values_that_meet_it(spark, monkeypatch):
         assert np.allclose(np.linalg.norm(coords, axis=0), s[:n])
 
 
+@pytest.mark.parametrize("n_docs,n_terms", [(60, 25), (25, 60)])
+@pytest.mark.parametrize("limit", [0, 8192])
+def test_both_solvers_and_orientations(spark, monkeypatch, n_docs, n_terms, limit):
+    """Against numpy: values, and the products of coordinates, which no sign or rotation changes."""
+    monkeypatch.setattr(lsa, "GRAM_LIMIT", limit or 1)
+    monkeypatch.setattr(lsa, "PANEL", 8)
+    if limit == 0:
+        monkeypatch.setattr(lsa, "_exact", None)
+    rng = np.random.default_rng(8)
+    dense = np.where(rng.random((n_docs, n_terms)) < 0.3, rng.random((n_docs, n_terms)), 0.0)
+    dense[3] = 0.0
+    w = spark.createDataFrame([(int(i), f"t{j}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "idx int, term string, w double")
+    vocab = spark.createDataFrame([(f"t{j}", j) for j in range(n_terms)], "term string, term_idx int")
+    u, s, vt = np.linalg.svd(dense)
+    for k, config in ((5, LsaConfig(k=5, one_more=False)), (6, LsaConfig(k=5)), (int((s / s[0] >= 0.2).sum()), LsaConfig(ratio=0.2, largest=4)), (len(s) - (n_docs < n_terms), LsaConfig(k=-1, largest=4))):
+        result = lsa.lsa(w, vocab, config)
+        assert np.allclose(result.values, s[:k], atol=1e-7)
+        docs = {r.idx: np.array(r.coords) for r in result.documents.collect()}
+        terms = {r.term: np.array(r.coords) for r in result.terms.collect()}
+        assert set(docs) == set(range(n_docs)) - {3} and set(terms) == {f"t{j}" for j in range(n_terms)}
+        a, b = u[:, :k] * s[:k], vt[:k].T * s[:k]
+        for i, j in ((0, 1), (2, 5), (7, 7)):
+            assert abs(docs[i] @ docs[j] - a[i] @ a[j]) < 1e-6 and abs(terms[f"t{i}"] @ terms[f"t{j}"] - b[i] @ b[j]) < 1e-6
+
+
+def test_basis_that_does_not_fit_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(lsa, "GRAM_LIMIT", 1)
+    monkeypatch.setattr(lsa, "BASIS_BYTES", 100)
+    w = spark.createDataFrame([(i, f"t{i % 3}", 1.0 + i) for i in range(6)], "idx int, term string, w double")
+    with pytest.raises(MemoryError):
+        lsa.lsa(w, spark.createDataFrame([("t0", 0), ("t1", 1), ("t2", 2)], "term string, term_idx int"), LsaConfig(k=2))
+
+
 def test_whole_table_of_titles_against_descriptions(spark, duck, monkeypatch):
     from tests_data import DATA
     from weftline.operators import blocks

@@ -60,7 +60,7 @@ class LsaConfig:
 
     ``k`` empty or 0 keeps values of at least ``ratio`` times the largest; ``k`` >= 1 keeps k, or k + 1
     with ``one_more`` (the counting of the published runs). A negative ``k`` keeps all. ``largest`` is how many values are
-    computed first where their number isn't known beforehand; it bounds nothing.
+    asked for first where their number isn't known beforehand; it bounds nothing.
     """
 
     k: int | str | None = None
@@ -81,7 +81,7 @@ class LsaConfig:
     def asked(self) -> int:
         """How many values to compute, or to begin with."""
         k = int(self.k or 0)
-        return k + 1 if k >= 1 else self.largest
+        return k + int(self.one_more) if k >= 1 else self.largest
 
     def enough(self, values: Sequence[float]) -> bool:
         """Whether no value beyond ``values`` can be one to keep."""

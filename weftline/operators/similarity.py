@@ -21,7 +21,7 @@ def normalised(weighted: DataFrame) -> DataFrame:
 
 
 #: Documents meet on the terms that leave a rest of at most this share of the cut.
-REST = 0.7
+REST = 0.8
 
 
 def _leading(units: DataFrame, cut_off: float) -> DataFrame:
