@@ -152,3 +152,31 @@ def test_settled_pagerank_is_the_fixed_point(spark, duck):
                 new[b] += 0.85 * ranks[a] / len(targets)
         ranks = new
     assert got and all(abs(got[v] - x) < 1e-8 for v, x in ranks.items())
+
+
+def test_message_features_across_blocks(spark, monkeypatch):
+    """One conversation with most messages, cut into many blocks, against a loop."""
+    from weftline.operators import conversation
+
+    monkeypatch.setattr(conversation, "BLOCK", 4)
+    rows = [(("hot" if i % 4 else f"c{i % 12}") if i % 29 else None, i, f"2020-01-01 00:{i // 60:02d}:{i % 60:02d}" if i % 7 else None, "w " * (i * 37 % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "c string, turn int, at string, t string").withColumn("at", F.col("at").cast("timestamp")).repartition(5)
+    expected, seen = {}, {}
+    for c, turn, at, t in rows:
+        longest, last = seen.get(c, (None, None))
+        now = None if at is None else turn
+        expected[turn] = (len(t.split()), len(t.split()) / longest if longest else None, None if c not in seen or last is None or now is None else float(now - last))
+        seen[c] = (max(longest or 0, len(t.split())), now)
+    got = {r.turn: (r.wc, r.slen, r.ppau) for r in message_features(df, "c", ["turn"], "t", "at").collect()}
+    assert got == expected
+
+
+def test_imports_by_suffix_and_names_that_begin_with_new(spark, tmp_path):
+    method = "<function><type><name>void</name></type> <name>{}</name><parameter_list>()</parameter_list><block>{{{}}}</block></function>"
+    call = "<expr><call><name>{}</name><argument_list>()</argument_list></call></expr>"
+    declared = "<decl_stmt><decl><type><name><name>Map</name>.<name>Entry</name></name></type> <name>e</name></decl>;</decl_stmt>"
+    (tmp_path / "a.xml").write_text(
+        "<unit><package>package <name>app</name>;</package><import>import <name>java.util.Map.Entry</name>;</import><import>import <name>other.NoEntry</name>;</import>"
+        "<class>class <name>Box</name><block>{" + declared + method.format("run", call.format("<name>e</name>.<name>get</name>") + call.format("newInstance")) + method.format("newInstance", "") + "}</block></class></unit>"
+    )
+    assert {(r.src, r.dst) for r in srcml.read_call_graph(spark, str(tmp_path)).collect()} == {("app.Box.run", "java.util.Map.Entry.get"), ("app.Box.run", "app.Box.newInstance")}

@@ -170,10 +170,10 @@ def dice(a: Column, b: Column) -> Column:
 
 def ascii_words(text: Column, longest: int = 256) -> Column:
     """Words of an ASCII tokeniser: letters, lower-cased, and digits; other ASCII characters
-    separate, characters beyond ASCII vanish. A word at the very end counts too."""
+    separate, characters beyond ASCII vanish. A word at the very end counts too. After ``longest`` characters a word ends and
+    the following ones begin another: no character is lost."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "")
-    words = F.split(F.lower(F.regexp_replace(plain, "[^A-Za-z0-9]", " ")), " +")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.substring(w, 1, longest))
+    return F.regexp_extract_all(F.lower(plain), F.lit(f"[a-z0-9]{{1,{longest}}}"), F.lit(0))
 
 
 def without_stop_words(words: Column, stop_list: list[str]) -> Column:

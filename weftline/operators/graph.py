@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.operators.frequent import join_counted
+from weftline.session import cut, drop
 
 
 def resolve_calls(classes: DataFrame, methods: DataFrame, calls: DataFrame, variables: DataFrame, imports: DataFrame) -> DataFrame:
@@ -33,9 +34,11 @@ def resolve_calls(classes: DataFrame, methods: DataFrame, calls: DataFrame, vari
     in_class = variables.filter("method_id IS NULL").groupBy("class_id", F.col("variable").alias("object")).agg(F.max("type").alias("t2"))
     typed = base.join(in_method, ["method_id", "object"], "left").join(in_class, ["class_id", "object"], "left")
     typed = cut(typed.withColumn("owner", F.coalesce("t1", "t2", "object")).withColumn("wanted", F.coalesce("member", "owner")))
-    # The last part of an import is the class it names: an equi-join instead of a suffix search.
-    named = imports.select("class_id", F.col("import_no").cast("long").alias("no"), "import", F.element_at(F.split("import", r"\."), -1).alias("owner"))
-    imported = typed.join(named, ["class_id", "owner"]).select(*call, F.lit(4).alias("way"), "no", dst(F.col("import"), F.col("wanted")))
+    # An import that ends with the owner ends with the owner's last part too: an equi-join on that part, then the whole suffix.
+    last_part = lambda c: F.element_at(F.split(c, r"\."), -1)
+    named = imports.select("class_id", F.col("import_no").cast("long").alias("no"), "import", last_part("import").alias("last"))
+    meets = typed.withColumn("last", last_part("owner")).join(named, ["class_id", "last"]).filter((F.col("import") == F.col("owner")) | F.col("import").endswith(F.concat(F.lit("."), F.col("owner"))))
+    imported = meets.select(*call, F.lit(4).alias("way"), "no", dst(F.col("import"), F.col("wanted")))
     theirs = named.join(classes.select(F.col("class_id").alias("other_id"), F.col("long_name").alias("import")), "import")
     theirs = theirs.join(methods.select(F.col("class_id").alias("other_id"), F.col("name").alias("other"), bare(F.col("name")).alias("called")), "other_id")
     static = typed.join(theirs.select("class_id", "no", "import", "other", "called"), ["class_id", "called"]).select(*call, F.lit(5).alias("way"), "no", dst(F.col("import"), F.col("other")))
@@ -46,41 +49,45 @@ def resolve_calls(classes: DataFrame, methods: DataFrame, calls: DataFrame, vari
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``(src, dsts)``: the callees of each caller, repeats kept, in order of name."""
+    """``(src, dsts)``: the callees of each caller, repeats kept, in order of name. For graphs whose callers have few callees: a
+    caller's list is one row. ``adjacency_rows`` has no such bound."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("dsts"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.15, tolerance: float = 0.0, every: int = 5) -> DataFrame:
+def adjacency_rows(edges: DataFrame) -> DataFrame:
+    """``(src, dst, n)``: each callee of each caller once, with its number of calls."""
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.15, tolerance: float = 0.0) -> DataFrame:
     """``(vertex, rank)`` after a number of rounds, or once no rank moves by more than ``tolerance``.
 
     Repeated edges count once; a vertex without outgoing edges spreads its rank evenly over all.
-    Ranks sum to 1. Edges are kept partitioned by source, and every few rounds the ranks are written
-    to the checkpoint folder. An empty graph gives an empty result.
+    Ranks sum to 1. Each round's ranks are written to the checkpoint folder and those of the round before removed, so plans don't grow;
+    edges of vertices with very many of them stay where they are. An empty graph gives an empty result.
     """
-    once = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    degree = once.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = cut(once.join(degree, "src").repartition("src"))
-    vertices = links.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    once = cut(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    degree = cut(once.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
+    vertices = once.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
     vertices = cut(vertices.join(degree.withColumnRenamed("src", "vertex"), "vertex", "left"))
     n = vertices.count()
     if n == 0:
         return vertices.select("vertex", F.lit(0.0).alias("rank"))
-    ranks = vertices.withColumn("rank", F.lit(1.0 / n))
-    for i in range(1, iterations + 1):
-        given = ranks.filter("degree IS NOT NULL").select(F.col("vertex").alias("src"), (F.col("rank") / F.col("degree")).alias("give"))
-        got = links.select("src", "dst").join(given, "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("give").alias("got"))
+    ranks, written = vertices.withColumn("rank", F.lit(1.0 / n)), None
+    for _ in range(iterations):
+        given = ranks.filter("degree IS NOT NULL").select(F.col("vertex").alias("src"), "degree", (F.col("rank") / F.col("degree")).alias("give"))
+        got = join_counted(once, given, "src", "degree", ["give"]).groupBy(F.col("dst").alias("vertex")).agg(F.sum("give").alias("got"))
         # One row: what the vertices without outgoing edges hold.
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         moved = ranks.withColumnRenamed("rank", "was").join(got, "vertex", "left").join(F.broadcast(loose))
         rank = F.lit(alpha / n) + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        moved = moved.select("vertex", "degree", rank.alias("rank"), "was")
-        check = tolerance > 0 or i % every == 0 or i == iterations
-        if check:
-            moved = cut(moved)
+        moved = cut(moved.select("vertex", "degree", rank.alias("rank"), "was"))
+        if written is not None:
+            drop(written)
+        written = moved
+        ranks = moved.drop("was")
         if tolerance > 0 and moved.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] <= tolerance:
-            ranks = moved.drop("was")
             break
-        ranks = moved.drop("was")
     return ranks.select("vertex", "rank")
 
 

@@ -16,11 +16,12 @@ QUICK, RETURN, OUTPUT_USED, CALLED, IMPORTANCE, USE = range(1, 7)
 FAR = 1.5
 
 
-def messages(methods: DataFrame, averages: DataFrame) -> DataFrame:
+def messages(methods: DataFrame, averages: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """``(id, method, type_order, part, verb, object, return_type, called, pagerank, average, use_type, example)``.
 
     ``methods``: id, name, returntype, called (array of ids or null), pagerank, verb, object, use_type,
-    example; facts may be null. ``averages``: one row with pagerank. A method has a message for each
+    example; facts may be null. Where methods have very many callers, ``callers`` (id, caller) holds them as rows, and ``methods`` only
+    their number ``n_called`` instead of the arrays. ``averages``: one row with pagerank. A method has a message for each
     fact it has: its verb and object, a return type that isn't void, its callers (always), its importance, an
     example; and one for each of its two most important callers that has verb and object.
     """
@@ -33,7 +34,9 @@ def messages(methods: DataFrame, averages: DataFrame) -> DataFrame:
         return df.select(*[given.get(f, F.lit(None)).cast(types[f]).alias(f) for f in fields])
 
     quick = methods.filter("verb IS NOT NULL AND object IS NOT NULL")
-    callers = methods.select("id", F.explode("called").alias("caller"))
+    if callers is None:
+        callers = methods.select("id", F.explode("called").alias("caller"))
+        methods = methods.withColumn("n_called", F.greatest(F.size("called"), F.lit(0)))
     two = best_callers(callers, methods.select("id", "pagerank"))
     chosen = two.select("id", F.posexplode(F.array("caller_one", "caller_two")).alias("part", "caller")).filter("caller != 0")
     told = chosen.join(quick.select(F.col("id").alias("caller"), "verb", "object"), "caller").join(methods.select("id", "name"), "id")
@@ -41,7 +44,7 @@ def messages(methods: DataFrame, averages: DataFrame) -> DataFrame:
     out = message(quick, QUICK, verb=F.col("verb"), object=F.col("object"))
     out = out.unionByName(message(methods.filter("returntype IS NOT NULL AND returntype != 'void'"), RETURN, return_type=F.col("returntype")))
     out = out.unionByName(message(told, OUTPUT_USED, F.col("part"), verb=F.col("verb"), object=F.col("object")))
-    out = out.unionByName(message(methods, CALLED, called=F.greatest(F.size("called"), F.lit(0))))
+    out = out.unionByName(message(methods, CALLED, called=F.coalesce("n_called", F.lit(0))))
     ranked = methods.filter("pagerank IS NOT NULL").join(F.broadcast(average))  # one row
     out = out.unionByName(message(ranked, IMPORTANCE, pagerank=F.col("pagerank"), average=F.col("average")))
     return out.unionByName(message(methods.filter("use_type IS NOT NULL"), USE, use_type=F.col("use_type"), example=F.col("example")))
@@ -104,9 +107,9 @@ def aggregated(plan: DataFrame) -> DataFrame:
     return p.select("id", "method", "type_order", "part", "phrase", joined.alias("told"))
 
 
-def summaries(methods: DataFrame, averages: DataFrame) -> DataFrame:
+def summaries(methods: DataFrame, averages: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """``(id, method, n_messages, plan, summary)``: one paragraph per method."""
-    told = aggregated(messages(methods, averages))
+    told = aggregated(messages(methods, averages, callers))
     sentence = F.concat(F.upper(F.substring("told", 1, 1)), F.expr("substring(told, 2)"), F.lit("."))
     parts = F.array_sort(F.collect_list(F.struct("type_order", "part", sentence.alias("s"))))
     out = told.groupBy("id", "method").agg(F.count(F.lit(1)).alias("n_messages"), parts.alias("parts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import xml.sax
 from collections.abc import Iterator
 
@@ -57,7 +58,7 @@ class _Reader(xml.sax.ContentHandler):
             self._named("".join(whole.split()), parent, depth)
         elif tag == "call" and self.methods and self.classes:
             m = self.methods[-1]
-            called = "".join(whole.split()).removeprefix("this.").removeprefix("new")
+            called = "".join(re.sub(r"^\s*new\s+", "", whole).split()).removeprefix("this.")  # only the word, not the start of a name
             self._fact("call", m["id"], m["calls"], called)
             m["calls"] += 1
         elif tag in ("function", "constructor") and self.methods:
