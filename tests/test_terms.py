@@ -159,7 +159,7 @@ def test_topics(spark):
     assert same > 0.9
     again = lda.topic_shares(lda.fit(rows, 2, iterations=20), rows)
     assert np.allclose([r.theta for r in again.orderBy("idx").collect()], [r.theta for r in shares.orderBy("idx").collect()])
-    assert lda.matched_topics([(0, 1), (0, 1), (1, 1), (1, 0)]) == ({0: 1, 1: 0}, 3)
+    assert lda.matched_topics(spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 0)], "inferred int, true int")) == ({0: 1, 1: 0}, 3)
 
 
 def test_topics_of_a_drawn_corpus(spark):

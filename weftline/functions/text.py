@@ -90,7 +90,8 @@ def correct(token: Column, corrections: dict[str, str]) -> Column:
     if not corrections:
         return token
     table = F.create_map(*[F.lit(x) for pair in corrections.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, token), token)
+    # A hashed set tells the few tokens that have an entry; only these search the table.
+    return F.when(token.isin(list(corrections)), F.try_element_at(table, token)).otherwise(token)
 
 
 def english_stop_words() -> list[str]:
@@ -109,11 +110,11 @@ def tokens(text: Column, config: TextConfig = TextConfig()) -> Column:
     if config.stop_words:
         stops = list(config.stop_list) if config.stop_list is not None else english_stop_words()
         stops += list(config.extra_stop_list) if config.spelling else []
-    stop_set = F.array(*[F.lit(s.lower()) for s in stops]) if stops else None
+    stop_set = sorted({s.lower() for s in stops})  # a hashed set in the plan
     words = raw_tokens(clean(F.coalesce(text, F.lit("")), config))
 
     def prepared(token: Column) -> Column:
-        stop = F.array_contains(stop_set, F.lower(token)) if stop_set is not None else F.lit(False)
+        stop = F.lower(token).isin(stop_set) if stop_set else F.lit(False)
         fixed = correct(token, dict(config.corrections)) if config.spelling else token
         return F.struct(F.when(stop, fixed).otherwise(F.translate(fixed, "'", "")).alias("s"), stop.alias("stop"))
 
@@ -178,8 +179,8 @@ def ascii_words(text: Column, longest: int = 256) -> Column:
 
 def without_stop_words(words: Column, stop_list: list[str]) -> Column:
     """Whole-word removal, in any case."""
-    stop = F.array(*[F.lit(s.lower()) for s in stop_list]).cast("array<string>")
-    return F.filter(words, lambda w: ~F.array_contains(stop, F.lower(w)))
+    stop = sorted({s.lower() for s in stop_list})
+    return F.filter(words, lambda w: ~F.lower(w).isin(stop)) if stop else words
 
 
 def words(text: Column) -> Column:

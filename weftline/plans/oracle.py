@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans.queries import SPELLINGS, STOP_WORDS
+from weftline.plans.queries import LATER_EXAMPLES, MORE_STOP_WORDS, SPELLINGS, STEM_EXAMPLES, STOP_WORDS
 
 SQL: dict[str, str] = {}
 
@@ -132,8 +132,7 @@ SQL["d18_title_dice"] = (
     "SELECT k.idx, k.dup_idx, round(CASE WHEN len(a.g) + len(b.g) > 0 THEN 2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) ELSE 0 END, 6) AS dice FROM known k JOIN g a ON a.idx = k.idx JOIN g b ON b.idx = k.dup_idx"
 )
 SQL["d19_ascii_words"] = (
-    r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]', ' ', 'g')), ' +'), lambda x: x <> '') AS w0 FROM documents), "
-    "x AS (SELECT doc_id, list_transform(w0, lambda x: x[1:256]) AS w FROM w) SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, "
+    r"WITH x AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')), '[a-z0-9]{1,256}') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, "
     f"CAST(len(list_filter(w, lambda x: x NOT IN ({_STOPS}))) AS INTEGER) AS n_kept, md5(array_to_string(w, ' ')) AS words_md5 FROM x"
 )
 SQL["d22_dictionary"] = rf"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({BODY}, '\w+')) AS word FROM features WHERE {VALID}) GROUP BY word"
@@ -141,7 +140,7 @@ _CALLS = "c AS (SELECT DISTINCT 'C' || l_suppkey AS cls, 'org.p.P' || l_partkey
 SQL["d23_call_lines"] = f"WITH {_CALLS} SELECT DISTINCT line FROM (SELECT cls || ' ' || cls AS line FROM c UNION ALL SELECT cls || ':run ' || owner || ':' || called FROM c UNION ALL SELECT cls || ' ' || owner FROM c)"
 SQL["d24_score_lines"] = "SELECT DISTINCT 'A' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ':run' END || ''': 0.' || s_suppkey AS line FROM supplier"
 SQL["b19_decimal_points"] = "SELECT raw_id, replace(raw_text, ',', '.') AS line FROM raw_records"
-SQL["b17_text_lines"] = "WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, md5(l[i]) AS line_md5 FROM l, range(1, len(l) + 1) r(i)"
+SQL["b17_text_lines"] = "WITH l AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT CAST(i - 1 AS INTEGER) AS pos, count(*) AS n, CAST(sum(length(l[i])) AS BIGINT) AS n_chars FROM l, range(1, len(l) + 1) r(i) GROUP BY 1"
 SQL["e1_vocabulary"] = (
     f"WITH {_tf()}, f AS (SELECT term, min(struct_pack(idx := idx, pos := pos)) AS f, count(*) AS cf, count(DISTINCT idx) AS df FROM term GROUP BY term) "
     "SELECT term, row_number() OVER (ORDER BY f.idx, f.pos) - 1 AS term_idx, cf, df FROM f"
@@ -151,9 +150,10 @@ SQL["e2_repeated_terms"] = f"WITH {_tf()} SELECT * FROM ({_STAT}) WHERE cf > 1"
 SQL["e3_shared_terms"] = f"WITH {_tf()} SELECT * FROM ({_STAT}) WHERE cf > 1 AND df > 1"
 SQL["e4_term_frequencies"] = f"WITH {_tf()} SELECT idx, term, tf FROM tf"
 SQL["e9_weights"] = f"WITH {WEIGHTS} SELECT idx, term, tf, df, round(w, 6) AS w FROM w"
-SQL["e10_documents_with_word"] = f"WITH {_tf()} SELECT term AS stem, count(*) AS n_documents FROM tf GROUP BY term"
+SQL["e10_documents_with_word"] = f"WITH {_tf()}, s AS (SELECT unnest([{_STOPS}]) AS stem) SELECT stem, count(tf) AS n_documents FROM s LEFT JOIN tf ON term = stem GROUP BY stem"
+SQL["e12_vocabulary_size"] = f"WITH {_tf()} SELECT count(*) AS vocabulary_size FROM (SELECT term FROM tf GROUP BY term HAVING sum(tf) > 1)"
 SQL["e13_corpus_size"] = f"WITH {_tf()} SELECT CAST(sum(tf) AS BIGINT) AS total_words, count(DISTINCT term) AS vocabulary_size FROM tf"
-SQL["e21_adjacency"] = f"WITH {LINKS} SELECT src, CAST(count(*) AS INTEGER) AS n_calls, CAST(count(DISTINCT dst) AS INTEGER) AS n_called, md5(string_agg(dst, ',' ORDER BY dst)) AS dsts_md5 FROM links GROUP BY src"
+SQL["e21_adjacency"] = f"WITH {LINKS} SELECT src, dst, count(*) AS n FROM links GROUP BY src, dst"
 SQL["e16_callers"] = f"WITH {LINKS} SELECT dst AS method, count(*) AS n_callers, count(DISTINCT src) AS n_distinct FROM links GROUP BY dst"
 _PAIRS = f"{WEIGHTS}, p AS (SELECT a.idx AS i, b.idx AS j, sum(a.u * b.u) AS sim FROM u a JOIN u b ON a.term = b.term AND a.idx < b.idx GROUP BY a.idx, b.idx HAVING sum(a.u * b.u) > 0.5)"
 SQL["f1_similar_pairs"] = f"WITH {_PAIRS} SELECT i, j, round(sim, 6) AS sim FROM p"
@@ -240,3 +240,128 @@ SQL["i4_wording"] = (
     "SELECT m.id, CASE WHEN pagerank > 1.5 * average THEN 'far more' WHEN pagerank > average THEN 'slightly more' ELSE 'less' END AS importance, "
     "CASE coalesce(n, 0) WHEN 0 THEN 'not called by any methods' WHEN 1 THEN 'called by 1 method' ELSE 'called by ' || n || ' methods' END AS calls FROM m CROSS JOIN a LEFT JOIN k ON k.id = m.id WHERE pagerank IS NOT NULL"
 )
+
+
+# Known duplicates, stop words, published stems.
+SQL["c4_without_exclusions"] = f"WITH {_records()}, {KNOWN}, {LINKS} SELECT idx, id, duplicate_id, dup_idx FROM known k WHERE NOT EXISTS (SELECT 1 FROM links WHERE src = k.id AND dst = k.duplicate_id)"
+_ALL_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS + MORE_STOP_WORDS)
+SQL["d13_more_stop_words"] = (
+    f"WITH {_tf()}, fix(a, b) AS (VALUES {_FIXES}) SELECT replace(coalesce(b, t), '''', '') AS term, count(*) AS n FROM tok LEFT JOIN fix ON t = a WHERE lower(t) NOT IN ({_ALL_STOPS}) GROUP BY 1"
+)
+for _name, _examples in (("d15_published_stems", STEM_EXAMPLES), ("d21_published_stems", LATER_EXAMPLES)):
+    SQL[_name] = "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*x.split("=")) for x in _examples.split()) + ") v(word, stem)"
+
+
+def _without_code() -> str:
+    """The steps one after the other. What has to be followed by a line end is matched in a text with all line ends doubled, where that end can be taken and given back."""
+    steps = [
+        (r"[C|c]hecking\sin(?s:.*)done", "chr(10)", False), (r"[C|c]hecking\sin(?s:.*)revision.*\n", "chr(10)", False), (r"/cvs/(?s:.*)revision.*\n", "chr(10)", False), (r"\w+://\S+", "' '", False),
+        (r"(\w+/\w+(/\w+)+)|(\w+(\\\w+)+)", "' '", False), (r"\n>.*\n", "chr(10) || ' '", False), (r"\n\s*at\s*\S+\(.*\)", "chr(10) || ' '", False), (r"\n[\w.]+[e|E]xception.*\n", "chr(10) || ' ' || chr(10)", True),
+        (r"--\s[E|e]rror\s[D|d]etails(?s:.*)[E|e]xception\s[S|s]tack\s[t|T]race:", "chr(10) || ' '", False), (r"[B|b]uild\s[I|i][d|D].*\n", "chr(10) || ' '", False), (r"[U|u]ser-[A|a]gent.*\n", "chr(10) || ' '", False),
+        (r"[S|s]teps.*[R|r]eproduce:", "' '", False), (r"[M|m]ore\s[I|i]nformation:", "' '", False), (r"[R|r]eproducible:.*\n", "' ' || chr(10)", True), (r"\n[T|t]hread\s\[.*\n(.*line.*\n)+", "chr(10) || ' '", False), (r"\n.*[;|}{]\n", "chr(10) || ' ' || chr(10)", True),
+    ]
+    sql = f"SELECT idx, doc AS t, 0 AS removed FROM rec"
+    for pattern, by, doubled in steps:
+        text = "replace(t, chr(10), chr(10) || chr(10))" if doubled else "t"
+        changed = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+        changed = f"replace({changed}, chr(10) || chr(10), chr(10))" if doubled else changed
+        sql = f"SELECT idx, {changed} AS t, removed + len(regexp_extract_all({text}, '{pattern}')) AS removed FROM ({sql})"
+    return f"WITH {_records(True)} SELECT idx, CAST(removed AS INTEGER) AS removed, CAST(length(t) AS INTEGER) AS n_chars FROM ({sql})"
+
+
+SQL["d7_without_code"] = _without_code()
+
+# Files written and read again.
+_CLEAN = lambda c: f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
+_NOTES = f"list_transform(coalesce(long_desc, []), lambda x: coalesce({_CLEAN('x.thetext')}, ''))"
+
+
+def _tracker(where: str, duplicate: str = "nullif(dup_id, '')") -> str:
+    return (
+        f"WITH n AS (SELECT bug_id AS id, {_CLEAN('short_desc')} AS title, {_NOTES} AS n, {duplicate} AS duplicate_id FROM features WHERE {where}) "
+        "SELECT id, title, md5(coalesce(n[1], '')) AS description_md5, CAST(greatest(len(n) - 1, 0) AS INTEGER) AS n_comments, md5(array_to_string(n[2:], '|')) AS comments_md5, duplicate_id FROM n"
+    )
+
+
+SQL["a1_bugzilla_records"] = _tracker("coalesce(resolution, '') NOT LIKE '%INVALID'")
+SQL["a2_tigris_records"] = _tracker("true")
+SQL["a3_sample_records"] = (
+    f"SELECT feature_id || '-' || c_id AS id, 't' || c_id AS title, 1 AS n_comments, md5(coalesce({_CLEAN('c_text')}, '')) AS comments_md5, CAST(NULL AS VARCHAR) AS duplicate_id FROM feature_comments WHERE feature_id IS NOT NULL"
+)
+SQL["a5_relational_rows"] = f"SELECT doc_idx, CAST(i - 1 AS INTEGER) AS pos, md5(coalesce({_CLEAN('long_desc[i].thetext')}, '-')) AS text_md5 FROM features, range(1, len(long_desc) + 1) r(i) WHERE len(long_desc) > 1"
+SQL["a7_call_edges"] = (
+    "WITH s AS (SELECT s_suppkey AS k, 'org.s' || (s_suppkey % 10) || '.S' || s_suppkey AS c FROM supplier) SELECT c || '.run' AS src, c || '.help' AS dst FROM s "
+    "UNION ALL SELECT c || '.run', 'org.p.P.get' FROM s WHERE k % 2 = 0 UNION ALL SELECT c || '.run', c || '.S' || k FROM s WHERE k % 3 = 0 "
+    "UNION ALL SELECT c || '.run', c || '.run' FROM s WHERE k % 7 = 0 UNION ALL SELECT c || '.run', 'org.p.P.shared' FROM s WHERE k % 11 = 0"
+)
+SQL["a9_report_rows"] = f"WITH {_REPORT} SELECT corpus || '/' || type AS type, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, CAST(support AS DOUBLE) AS support FROM f"
+SQL["a12_word_counts"] = (
+    "WITH g AS (SELECT l_orderkey, l_linenumber AS k, sum(CAST(trunc(l_quantity) AS INTEGER)) AS v FROM lineitem GROUP BY 1, 2), e AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM g) "
+    "SELECT CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k, CAST(sum(v) AS BIGINT) AS total, count(*) AS n_lines FROM e GROUP BY n, k"
+)
+SQL["a13_vocabulary_file"] = f"WITH {_tf()}, f AS (SELECT term, min(struct_pack(idx := idx, pos := pos)) AS f FROM term GROUP BY term) SELECT row_number() OVER (ORDER BY f.idx, f.pos) - 1 AS term_idx, term FROM f"
+SQL["a15_positive_entries"] = "SELECT vec_id, CAST(i - 1 AS INTEGER) AS col, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, range(1, len(embedding) + 1) r(i) WHERE embedding[i] > 0"
+SQL["a17_ascii_texts"] = r"SELECT doc_id, md5(regexp_replace(text, '[^\x00-\x7F]', '?', 'g')) AS ascii_md5 FROM documents"
+SQL["a18_transcripts"] = SQL["g8_message_features"]
+SQL["b2_duplicates_file"] = (
+    "SELECT trim(feature_id, E' \\t\\r') AS feature_id, trim(dup_id, E' \\t\\r') AS dup_id, CAST(rank AS DOUBLE) AS rank, sim FROM duplicateslsa_lo_sy_dw_sm_sc_ac WHERE trim(feature_id, E' \\t\\r') <> '' AND trim(dup_id, E' \\t\\r') <> '' AND (sim IS NULL OR NOT isnan(sim))"
+)
+SQL["b5_pairs_file"] = (
+    'SELECT title_i AS "Title_i", id_i AS "ID_i", doc_j AS "Doc_j", id_j AS "ID_j", round(CAST(cosine_similarity AS DOUBLE), 4) AS cosine_similarity FROM lsa_m2_lo_sy_dw_sm_sc_ac '
+    "WHERE title_i IS NOT NULL AND id_i IS NOT NULL AND doc_j IS NOT NULL AND id_j IS NOT NULL AND (cosine_similarity IS NULL OR NOT isnan(cosine_similarity))"
+)
+SQL["b19_decimal_file"] = "SELECT replace(raw_text, ',', '.') AS line, count(*) AS n FROM raw_records WHERE NOT contains(raw_text, chr(10)) AND NOT contains(raw_text, chr(13)) GROUP BY 1"
+SQL["e20_averages"] = (
+    f"WITH {_METHODS}, k AS (SELECT id, count(*) AS n FROM c GROUP BY id), o AS (SELECT caller AS id, count(*) AS n FROM c WHERE id IN (SELECT id FROM m) GROUP BY caller) "
+    "SELECT round(avg(coalesce(k.n, 0)), 6) AS called, round(avg(coalesce(o.n, 0)), 6) AS calls, round(avg(pagerank), 6) AS pagerank FROM m LEFT JOIN k USING (id) LEFT JOIN o USING (id)"
+)
+
+# Summaries: one row per message, joined with its neighbours, then one text per method.
+_WORDS = "CASE WHEN pagerank > 1.5 * average THEN 'far more' WHEN pagerank > average THEN 'slightly more' ELSE 'less' END"
+_CALLED = "CASE n_called WHEN 0 THEN 'not called by any methods' WHEN 1 THEN 'called by 1 method' ELSE 'called by ' || n_called || ' methods' END"
+SQL["i7_summaries"] = (
+    f"WITH {_METHODS}, r AS (SELECT CAST(bug_id AS INTEGER) AS id, min(resolution) AS ret FROM features GROUP BY 1), n AS (SELECT id, count(*) AS n FROM c GROUP BY id), a AS (SELECT avg(pagerank) AS average FROM m), "
+    "x AS (SELECT m.id, 'm' || m.id AS name, pagerank, average, ret, coalesce(n.n, 0) AS n_called, m.id % 2 = 0 AS verb, CASE WHEN m.id % 10 = 4 THEN 'null' ELSE 'm' || m.id END AS object, m.id % 7 = 0 AS used FROM m CROSS JOIN a JOIN r USING (id) LEFT JOIN n USING (id)), "
+    "k AS (SELECT DISTINCT c.id, c.caller FROM c JOIN m USING (id)), t AS (SELECT k.id, k.caller, row_number() OVER (PARTITION BY k.id ORDER BY p.pagerank DESC, k.caller) AS p FROM k JOIN m p ON p.id = k.caller WHERE p.pagerank > 0), "
+    "o AS (SELECT t.id, p, object FROM t JOIN x ON x.id = t.caller WHERE p <= 2 AND x.verb), "
+    "o2 AS (SELECT id, count(*) AS n, arg_min(object, p) AS o1, arg_max(object, p) AS o2 FROM o GROUP BY id), "
+    "y AS (SELECT x.*, coalesce(o2.n, 0) AS n_out, o1, o2, (ret IS NOT NULL AND ret <> 'void') AS returns, CASE WHEN regexp_matches(ret, '^[aeiouAEIOU]') THEN 'an ' ELSE 'a ' END || ret AS aret FROM x LEFT JOIN o2 USING (id)), "
+    f"z AS (SELECT *, {_WORDS} AS words, {_CALLED} AS calls FROM y), "
+    "s AS (SELECT id, verb::INT + returns::INT + n_out + 1 + (pagerank IS NOT NULL)::INT + used::INT AS n_messages, "
+    "CASE WHEN verb THEN '1' ELSE '' END || CASE WHEN returns THEN '2' ELSE '' END || repeat('3', n_out) || '4' || CASE WHEN pagerank IS NOT NULL THEN '5' ELSE '' END || CASE WHEN used THEN '6' ELSE '' END AS plan, "
+    "[CASE WHEN verb THEN 'This method opens the ' || object || CASE WHEN returns THEN ' and returns ' || aret ELSE '' END END, "
+    "CASE WHEN returns AND NOT verb THEN 'M' || name[2:] || ' returns ' || aret END, "
+    "CASE WHEN returns AND n_out = 2 THEN 'That ' || ret || ' is used by methods that open the ' || o1 || ' and open the ' || o2 WHEN returns AND n_out = 1 THEN 'That ' || ret || ' is used by a method that opens the ' || o1 "
+    "WHEN n_out > 0 AND o1 <> 'null' THEN 'Return data is used by a method that opens the ' || o1 END, "
+    "CASE WHEN NOT returns AND n_out = 2 AND o2 <> 'null' THEN 'Return data is used by a method that opens the ' || o2 END, "
+    "CASE WHEN pagerank IS NOT NULL THEN 'M' || name[2:] || '() seems ' || words || ' important than average because it is ' || calls ELSE 'M' || name[2:] || ' is ' || calls END, "
+    "CASE WHEN used AND id % 3 <> 0 THEN 'The method can be used in a loop statement; for example: \"' || name || '()\"' END] AS parts FROM z) "
+    "SELECT id, n_messages, plan, array_to_string(list_transform(list_filter(parts, lambda p: p IS NOT NULL), lambda p: p || '.'), ' ') AS summary FROM s"
+)
+
+# The space of all dimensions is the space of weights, here of terms that are in several documents.
+_KEPT = WEIGHTS.replace("FROM tf GROUP BY term)", "FROM tf GROUP BY term HAVING sum(tf) > 1 AND count(*) > 1)").replace("top AS (SELECT idx, max(tf) AS m FROM tf GROUP BY idx)", "top AS (SELECT idx, max(tf) AS m FROM tf JOIN df USING (term) GROUP BY idx)")
+SQL["h10_full_rank_pairs"] = SQL["f1_similar_pairs"].replace(WEIGHTS, _KEPT)
+SQL["h11_published_ranks"] = SQL["g1_duplicate_ranks"].replace(WEIGHTS, _KEPT)
+SQL["g7_singular_values"] = f"WITH {_KEPT} SELECT round(sum(w * w), 4) AS squares, true AS descends FROM w"
+SQL["h13_count_matrix_values"] = f"WITH {_KEPT} SELECT round(CAST(sum(tf * tf) AS DOUBLE), 3) AS squares FROM w"
+SQL["h12_full_rank_terms"] = (
+    f"WITH {_KEPT}, first_at AS (SELECT term, min(struct_pack(idx := idx, pos := pos)) AS f FROM term JOIN df USING (term) GROUP BY term), num AS (SELECT term, row_number() OVER (ORDER BY f.idx, f.pos) - 1 AS i FROM first_at), "
+    "n AS (SELECT term, sqrt(sum(w * w)) AS n FROM w WHERE w > 0 GROUP BY term), v AS (SELECT idx, num.i, w / n AS x FROM w JOIN n USING (term) JOIN num USING (term) WHERE w > 0), "
+    "p AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS sim FROM v a JOIN v b ON a.idx = b.idx AND a.i < b.i GROUP BY a.i, b.i HAVING sum(a.x * b.x) > 0.500000001) SELECT i, j, round(sim, 6) AS sim FROM p"
+)
+
+# Titles against descriptions with pruning, and with every record as a query.
+_H3 = SQL["h3_title_description"]
+SQL["h4_pruned_title_description"] = (
+    _H3.replace("df AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term)", "df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf2 GROUP BY term)")
+    .replace("ownt AS (SELECT q, term, max(f) AS f, max(s) AS s FROM (SELECT idx AS q, term, 1 AS f, 0 AS s FROM tf2 WHERE idx IN (SELECT idx FROM known) UNION ALL SELECT q, term, 0, 1 FROM srel) GROUP BY q, term)",
+             "ownt AS (SELECT q, term, max(f) AS f, max(s) AS s, sum(c) AS c FROM (SELECT idx AS q, term, 1 AS f, 0 AS s, -tf AS c FROM tf2 WHERE idx IN (SELECT idx FROM known) UNION ALL SELECT idx, term, 0, 1, tf FROM tf WHERE idx IN (SELECT idx FROM known)) GROUP BY q, term)")
+    .replace("CASE WHEN df.df - coalesce(o.f, 0) + coalesce(o.s, 0) > 0 THEN", "CASE WHEN df.df - coalesce(o.f, 0) + coalesce(o.s, 0) > 1 AND df.cf + coalesce(o.c, 0) > 1 THEN")
+    .replace("s.r * ln(n.n / (coalesce(df.df, 0) - o.f + o.s)) AS w", "s.r * CASE WHEN coalesce(df.df, 0) - o.f + o.s > 1 AND coalesce(df.cf, 0) + o.c > 1 THEN ln(n.n / (coalesce(df.df, 0) - o.f + o.s)) ELSE 0 END AS w")
+)
+_EVERY = _H3[: _H3.index(", places AS")].replace("WHERE idx IN (SELECT idx FROM known)", "").replace("SELECT DISTINCT idx AS q FROM known", "SELECT idx AS q FROM rec")
+SQL["b3_cross_reference_rows"] = (
+    f'{_EVERY} SELECT q AS "Title_i", x.id AS "ID_i", c AS "Doc_j", y.id AS "ID_j", round(CAST(CAST(sim AS FLOAT) AS DOUBLE), 4) AS sim FROM sims JOIN rec x ON x.idx = q JOIN rec y ON y.idx = c WHERE q < c AND sim > 0.5'
+)
+SQL["b3_title_description_pairs"] = f"{_EVERY} SELECT x.idx AS i, y.idx AS j, round(coalesce(sim, 0), 6) AS sim FROM rec x JOIN rec y ON x.idx < y.idx LEFT JOIN sims ON q = x.idx AND c = y.idx"

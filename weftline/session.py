@@ -43,6 +43,11 @@ def _folder(spark: SparkSession) -> str:
     return _FOLDERS[sc.applicationId]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for files in the folder of this application's intermediate tables."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _writable(df: DataFrame) -> bool:
     """Whether Parquet can hold the columns: it has no column of nothing but nulls, and no two of one name."""
     names = [c.lower() for c in df.columns]
@@ -62,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not _writable(df):
         ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_table = path

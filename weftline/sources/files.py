@@ -21,9 +21,10 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)`` from 0, in the order of the file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"), F.lit(0).alias("all"))
-    return grouped_positions(lines, ["all"], [F.col("place")]).select((F.col("position") - 1).alias("line_no"), "value")
+    """``(line_no, value)`` from 0, in the order of the file; several files follow each other by name."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select("value", *where, F.lit(0).alias("all"))
+    return grouped_positions(lines, ["all"], [F.col("file"), F.col("block"), F.col("place")]).select((F.col("position") - 1).alias("line_no"), "value")
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:

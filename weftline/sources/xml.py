@@ -30,8 +30,9 @@ def read_rows(spark: SparkSession, path: str, row_tag: str, schema: str, mode: s
 
 def _numbered(df: DataFrame) -> DataFrame:
     """Adds ``idx``, the ordinal of the record in the corpus: file, then place in the file."""
-    placed = df.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")).withColumn("all", F.lit(0))
-    return grouped_positions(placed, ["all"], [F.col("file"), F.col("place")]).withColumn("idx", F.col("position") - 1).drop("all", "file", "place", "position")
+    placed = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).withColumn("all", F.lit(0))
+    numbered = grouped_positions(placed, ["all"], [F.col("file"), F.col("block"), F.col("place")])
+    return numbered.withColumn("idx", F.col("position") - 1).drop("all", "file", "block", "place", "position")
 
 
 def canonical(df: DataFrame, record_id: Column, duplicate_id: Column) -> DataFrame:
@@ -126,6 +127,6 @@ def read_methods(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def computed_averages(methods: DataFrame) -> DataFrame:
-    """The averages row computed from the methods."""
-    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    """The averages row computed from the methods, whose callers and callees are arrays or, as ``n_called`` and ``n_calls``, numbers."""
+    size = lambda c: F.col(f"n_{c}") if f"n_{c}" in methods.columns else F.greatest(F.size(c), F.lit(0))
     return methods.agg(F.avg(size("called")).alias("called"), F.avg(size("calls")).alias("calls"), F.avg("pagerank").alias("pagerank"))
