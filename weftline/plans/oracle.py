@@ -364,4 +364,3 @@ _EVERY = _H3[: _H3.index(", places AS")].replace("WHERE idx IN (SELECT idx FROM
 SQL["b3_cross_reference_rows"] = (
     f'{_EVERY} SELECT q AS "Title_i", x.id AS "ID_i", c AS "Doc_j", y.id AS "ID_j", round(CAST(CAST(sim AS FLOAT) AS DOUBLE), 4) AS sim FROM sims JOIN rec x ON x.idx = q JOIN rec y ON y.idx = c WHERE q < c AND sim > 0.5'
 )
-SQL["b3_title_description_pairs"] = f"{_EVERY} SELECT x.idx AS i, y.idx AS j, round(coalesce(sim, 0), 6) AS sim FROM rec x JOIN rec y ON x.idx < y.idx LEFT JOIN sims ON q = x.idx AND c = y.idx"
