@@ -13,11 +13,11 @@ from weftline.session import cut, ship
 
 
 def normalised(weighted: DataFrame) -> DataFrame:
-    """``(idx, term, t, df, u)``: weights divided by the document's norm. Weights of 0 and documents of norm 0
+    """``(idx, term, t, df, u)``, without t and df where they are missing: weights divided by the document's norm. Weights of 0 and documents of norm 0
     vanish: they are similar to nothing."""
     positive = weighted.filter("w > 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("idx")))
-    return positive.select("idx", "term", "t", "df", (F.col("w") / norm).alias("u"))
+    return positive.select(*[c for c in ("idx", "term", "t", "df") if c in weighted.columns], (F.col("w") / norm).alias("u"))
 
 
 #: Documents meet on the terms that leave a rest of at most this share of the cut.
