@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import LsaConfig, TextConfig
-from weftline.operators import dense, lda, lsa, ranking, similarity, tfidf, tvd
+from weftline.operators import blocks, dense, lda, lsa, ranking, similarity, tfidf, tvd
 from weftline.plans.pipeline import Workflow, batch, duplicate_workflow
 
 DOCS = [(0, "apple banana banana"), (1, "apple cherry"), (2, "banana cherry cherry date")]
@@ -107,6 +107,23 @@ def test_similar_pairs_against_brute_force(spark):
         assert {(r.i, r.j) for r in similarity.similar_pairs(w, cut).collect()} == expected
 
 
+def test_pairs_of_many_tiles_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE_TILE", 16)
+    monkeypatch.setattr(blocks, "BATCH_BYTES", 4096)
+    monkeypatch.setattr(blocks, "COMMON", 7)
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join([f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 14)) if x < 60])) for i in range(150)] + [(150, "")]
+    w = tfidf.weights(tf_of(spark, docs), len(docs))
+    vectors = {}
+    for r in similarity.normalised(w).collect():
+        vectors.setdefault(r.idx, {})[r.term] = r.u
+    expected = {(i, j): sum(v * vectors[j].get(t, 0) for t, v in vectors[i].items()) for i in vectors for j in vectors if i < j}
+    pairs = similarity.similar_pairs(w, 0.5)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = [((r.i, r.j), r.sim) for r in pairs.collect()]
+    assert dict(found) == pytest.approx({k: v for k, v in expected.items() if v > 0.5}, abs=1e-12) and len(found) == len(dict(found))
+
+
 def test_two_records(spark):
     w = tfidf.weights(tf_of(spark), 3)
     ids = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, idx long")
