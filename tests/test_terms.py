@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.config import LsaConfig, TextConfig
 from weftline.operators import blocks, dense, lda, lsa, ranking, similarity, tfidf, tvd
 from weftline.plans.pipeline import Workflow, batch, duplicate_workflow
+from weftline.sinks import writers
 
 DOCS = [(0, "apple banana banana"), (1, "apple cherry"), (2, "banana cherry cherry date")]
 MU, MU_DO = TextConfig(single_terms=True), TextConfig(single_terms=True, single_document_terms=True)
@@ -124,6 +125,14 @@ def test_pairs_of_many_tiles_are_not_shuffled(spark, monkeypatch):
     assert dict(found) == pytest.approx({k: v for k, v in expected.items() if v > 0.5}, abs=1e-12) and len(found) == len(dict(found))
 
 
+def test_pairs_of_both_directions_are_made_once(spark):
+    w = tfidf.weights(tf_of(spark), 3)
+    ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, id string")
+    rows = writers.pair_rows(similarity.similar_pairs(w, 0.4), ids, both_directions=True)
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ID_i, r.ID_j) for r in rows.collect()) == [("b", "c"), ("c", "b")]
+
+
 def test_two_records(spark):
     w = tfidf.weights(tf_of(spark), 3)
     ids = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, idx long")
