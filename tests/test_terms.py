@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_data import DATA
 from weftline.config import LsaConfig, TextConfig
 from weftline.operators import blocks, dense, lda, lsa, ranking, similarity, tfidf, tvd
+from weftline.plans import queries
 from weftline.plans.pipeline import Workflow, batch, duplicate_workflow
 from weftline.sinks import writers
 
@@ -360,3 +362,10 @@ def test_whole_table_of_titles_against_descriptions(spark, duck, monkeypatch):
     n = r.count()
     assert len(rows) == len(got) == n * (n - 1) // 2
     assert all(abs(s - expected.get(k, 0.0)) < 1e-9 for k, s in got.items()) and set(expected) <= set(got)
+
+
+def test_topic_sweep_does_the_published_iterations(spark, monkeypatch):
+    asked, real = [], lda.LDA
+    monkeypatch.setattr(lda, "LDA", lambda **options: asked.append((options["k"], options["maxIter"])) or real(**options | {"maxIter": 1}))
+    queries.h17_topic_sweep(spark, str(DATA))
+    assert asked == [(k, 50) for k in range(100, 201, 10)]
