@@ -135,6 +135,36 @@ def test_pairs_of_both_directions_are_made_once(spark):
     assert sorted((r.ID_i, r.ID_j) for r in rows.collect()) == [("b", "c"), ("c", "b")]
 
 
+def test_reduced_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE_TILE", 16)
+    monkeypatch.setattr(blocks, "BATCH_BYTES", 1000)
+    v = np.random.default_rng(4).normal(size=(90, 3))
+    found = blocks.pairs_above(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "idx int, coords array<double>"), 0.5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert sorted((r.i, r.j) for r in found.collect()) == [(i, j) for i in range(90) for j in range(i + 1, 90) if unit[i] @ unit[j] > 0.5]
+
+
+@pytest.mark.parametrize("cut_off", [None, 0.3])
+def test_products_of_pairs_are_not_shuffled(spark, monkeypatch, cut_off):
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    monkeypatch.setattr(blocks, "BATCH_BYTES", 2000)
+    rng, n = np.random.default_rng(6), 60
+    full, asks, change = (rng.random((n, 30)) * (rng.random((n, 30)) < share) for share in (0.4, 0.3, 0.2))
+    change -= 0.5 * (change > 0)
+    row = lambda x: (np.flatnonzero(x).tolist(), x[x != 0].tolist())
+    left = spark.createDataFrame([(i, *row(asks[i]), *row(change[i])) for i in range(n - 1)] + [(n - 1, None, None, None, None)], "idx int, t array<long>, u array<double>, ct array<long>, cu array<double>")
+    norm2 = (full * full).sum(axis=1)
+    right = spark.createDataFrame([(i, *row(full[i]), float(norm2[i])) for i in range(n)], "idx int, t array<long>, u array<double>, norm2 double")
+    found = blocks.pair_products(left, right, cut_off)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    norms = np.sqrt(np.maximum(norm2[None, :] + change @ (full * full).T, 0))
+    sims = np.divide(asks @ full.T, norms, out=np.zeros((n, n)), where=norms > 1e-12)
+    expected = {(i, j): sims[i, j] for i in range(n) for j in range(i + 1, n) if cut_off is None or sims[i, j] > cut_off}
+    assert {(r.i, r.j): r.sim for r in found.collect()} == pytest.approx(expected, abs=1e-12)
+
+
 def test_two_records(spark):
     w = tfidf.weights(tf_of(spark), 3)
     ids = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, idx long")
