@@ -1,13 +1,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests_data import DATA
 from weftline.config import LsaConfig, TextConfig
 from weftline.operators import blocks, dense, lda, lsa, ranking, similarity, tfidf, tvd
-from weftline.plans import queries
+from weftline.plans import oracle, queries
 from weftline.plans.pipeline import Workflow, batch, duplicate_workflow
 from weftline.sinks import writers
 
@@ -399,3 +400,17 @@ def test_topic_sweep_does_the_published_iterations(spark, monkeypatch):
     monkeypatch.setattr(lda, "LDA", lambda **options: asked.append((options["k"], options["maxIter"])) or real(**options | {"maxIter": 1}))
     queries.h17_topic_sweep(spark, str(DATA))
     assert asked == [(k, 50) for k in range(100, 201, 10)]
+
+
+def test_wanted_documents_meet_only_queries_that_want_them():
+    seen = []
+    similarity_ = blocks.Similarity(lambda t: t.num_rows, lambda t: t.num_rows, lambda q, d: seen.append((q, d)) or np.full((q, d), 0.5))
+    asked = pa.table({"idx": range(600), "key": range(600), "wanted": [1000] + [2000] * 599})
+    out = list(blocks._hits(asked, pa.table({"idx": [1000, 1001], "key": [1000, 1001]}), similarity_))
+    assert seen == [(1, 2)] and [b.to_pylist() for b in out] == [[{"idx": 0, "c": 1000, "sim": 0.5}]]
+
+
+@pytest.mark.parametrize("name", ["h10_full_rank_pairs", "h12_full_rank_terms"])
+def test_full_rank_needs_no_decomposition(same_as_sql, monkeypatch, name):
+    monkeypatch.setattr(lsa, "lsa", lambda *a: pytest.fail("decomposed"))
+    same_as_sql(queries.QUERIES[name], oracle.SQL[name])
