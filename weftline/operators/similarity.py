@@ -31,6 +31,14 @@ def similar_pairs(weighted: DataFrame, cut_off: float = 0.5, both_directions: bo
     return scored
 
 
+def similar_terms(weighted: DataFrame, vocab: DataFrame, cut_off: float) -> DataFrame:
+    """``(i, j, sim)`` of all pairs of terms, by their ``term_idx`` of ``vocab``, whose weights over the documents have a cosine above ``cut_off``."""
+    numbers = vocab.select("term", F.col("term_idx").cast("long").alias("i"))
+    sizes = F.count(F.lit(1)).over(Window.partitionBy("idx"))  # a document is frequent by how many terms it has
+    turned = weighted.filter("w > 0").withColumn("df", sizes).select("term", F.col("idx").cast("long").alias("t"), "df", "w")
+    return similar_pairs(turned.join(numbers, "term").select(F.col("i").alias("idx"), "t", "df", "w"), cut_off)
+
+
 def probe_similarities(units: DataFrame, probes: DataFrame) -> DataFrame:
     """``(q, c, sim)`` for each probe ``q`` (a column ``idx``) and every document that shares a term with it."""
     keyed = units.select("idx", "t", "u")

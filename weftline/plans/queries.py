@@ -568,7 +568,7 @@ def h5_lsa_pairs(spark, sf_dir):
 
 @query
 def h10_full_rank_pairs(spark, sf_dir):
-    """The same with all dimensions."""
+    """The same with all dimensions, where the cosines of records are those of their weights, exactly."""
     return _flow(spark, sf_dir, LsaConfig(k=-1)).get("lsa_pairs").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
@@ -613,8 +613,10 @@ def h12_similar_terms(spark, sf_dir):
 
 @query
 def h12_full_rank_terms(spark, sf_dir):
-    """The same with all dimensions."""
-    return _term_pairs(spark, sf_dir, LsaConfig(k=-1))
+    """The same with all dimensions, where the cosines of terms are those of their weights, exactly."""
+    flow = _flow(spark, sf_dir, LsaConfig(k=-1))
+    pairs = similarity.similar_terms(flow.get("weights"), flow.get("vocabulary"), 0.5 + 1e-9)
+    return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 def _term_pairs(spark, sf_dir, config: LsaConfig) -> DataFrame:
