@@ -414,3 +414,30 @@ def test_wanted_documents_meet_only_queries_that_want_them():
 def test_full_rank_needs_no_decomposition(same_as_sql, monkeypatch, name):
     monkeypatch.setattr(lsa, "lsa", lambda *a: pytest.fail("decomposed"))
     same_as_sql(queries.QUERIES[name], oracle.SQL[name])
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_all_values_are_found_without_directions(spark, monkeypatch, pairs):
+    for name in ("_exact", "_krylov", "_projected"):
+        monkeypatch.setattr(lsa, name, lambda *a: pytest.fail("directions were computed"))
+    rng = np.random.default_rng(2)
+    dense = np.round(rng.random((12, 9)) * (rng.random((12, 9)) < 0.5), 3)
+    dense[0] = np.arange(1, 10)
+    entries = [(i, f"t{j}", float(dense[i, j])) for i in range(12) for j in range(9) if dense[i, j]]
+    w = spark.createDataFrame(entries, "idx int, term string, w double")
+    vocab = spark.createDataFrame([(f"t{j}", j) for j in range(9)], "term string, term_idx int")
+    assert np.allclose(lsa.lsa(w, vocab, LsaConfig(k=-1)).values, np.linalg.svd(dense)[1], atol=1e-7)
+    c = pa.ListArray.from_arrays(pa.array([0, 0, 3, 4], pa.int32()), pa.array([0, 2, 3, 1], pa.int32()))
+    batch = pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(c.offsets, pa.array([1.0, 2.0, 3.0, 4.0]))], names=["c", "w"])
+    monkeypatch.setattr(lsa, "PAIRS", pairs)
+    for b in (batch, batch.slice(1, 2)):
+        products = np.zeros((4, 4))
+        lsa._add_products(products, b)
+        assert products.tolist() == [[1, 0, 2, 3], [0, 16, 0, 0], [0, 0, 4, 6], [0, 0, 0, 9]]
+        assert np.allclose(lsa._eigenvalues(products), [0, 0, 14, 16])
+
+
+@pytest.mark.parametrize("name", ["g7_singular_values", "h13_count_matrix_values"])
+def test_values_alone_need_no_coordinates(same_as_sql, monkeypatch, name):
+    monkeypatch.setattr(lsa, "_projected", lambda *a: pytest.fail("coordinates were computed"))
+    same_as_sql(queries.QUERIES[name], oracle.SQL[name])
