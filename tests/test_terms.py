@@ -431,7 +431,7 @@ def test_all_values_are_found_without_directions(spark, monkeypatch, pairs):
     batch = pa.RecordBatch.from_arrays([c, pa.ListArray.from_arrays(c.offsets, pa.array([1.0, 2.0, 3.0, 4.0]))], names=["c", "w"])
     monkeypatch.setattr(lsa, "PAIRS", pairs)
     for b in (batch, batch.slice(1, 2)):
-        products = np.zeros((4, 4))
+        products = lsa._half_used(4)
         lsa._add_products(products, b)
         assert products.tolist() == [[1, 0, 2, 3], [0, 16, 0, 0], [0, 0, 4, 6], [0, 0, 0, 9]]
         assert np.allclose(lsa._eigenvalues(products), [0, 0, 14, 16])
