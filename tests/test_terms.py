@@ -441,3 +441,40 @@ def test_all_values_are_found_without_directions(spark, monkeypatch, pairs):
 def test_values_alone_need_no_coordinates(same_as_sql, monkeypatch, name):
     monkeypatch.setattr(lsa, "_projected", lambda *a: pytest.fail("coordinates were computed"))
     same_as_sql(queries.QUERIES[name], oracle.SQL[name])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 9.0])
+def test_topic_shares_of_a_task_are_those_of_expectation_maximisation(monkeypatch, share):
+    monkeypatch.setattr(lda, "SHARE", share)
+    monkeypatch.setattr(lda, "DOCUMENTS", 7)
+    monkeypatch.setattr(lda, "ENTRIES", 5)
+    rng, k, alpha, beta = np.random.default_rng(4), 3, 1.5, 0.1
+    counts = rng.integers(1, 4, (20, 9)) * (rng.random((20, 9)) < 0.4)
+    counts[5] = 0
+    d, c = np.nonzero(counts)
+    ends = np.cumsum((counts > 0).sum(axis=1))
+
+    def run(iterations):
+        return lda.em_shares(ends, c.astype(np.int32), counts[d, c].astype(float), 9, k, iterations, alpha, beta, 5)
+
+    draws = np.random.default_rng([5, k])
+    of_documents, of_terms = draws.random((20, k)), draws.random((9, k))
+    of_documents *= (counts.sum(axis=1) / of_documents.sum(axis=1))[:, None]
+    of_terms *= (counts.sum(axis=0) / of_terms.sum(axis=1))[:, None]
+    for _ in range(4):
+        gamma = (of_documents[:, None, :] + alpha) * (of_terms[None, :, :] + beta) / (of_terms.sum(axis=0) + 9 * beta)
+        gamma *= (counts / gamma.sum(axis=2))[:, :, None]
+        of_documents, of_terms = gamma.sum(axis=1), gamma.sum(axis=0)
+    expected = (of_documents + alpha) / (of_documents + alpha).sum(axis=1, keepdims=True)
+    assert np.allclose(run(4), expected) and np.allclose(run(4)[5], 1 / k) and not np.allclose(run(3), expected)
+
+
+def test_models_of_a_sweep_are_fitted_side_by_side(spark, monkeypatch):
+    def fit(self, rows):
+        pytest.fail("fitted one after the other")
+
+    real = lda.LDA
+    monkeypatch.setattr(lda, "LDA", lambda **options: real(**options | {"maxIter": 2}))
+    monkeypatch.setattr(real, "fit", fit)
+    rows = queries.h17_topic_sweep(spark, str(DATA)).collect()
+    assert [r.topics for r in rows] == list(range(100, 201, 10)) and len({r.n_duplicates for r in rows}) == 1 and rows[0].n_duplicates > 0
